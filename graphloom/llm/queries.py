@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import cooccurrence, topn
+from graphloom.llm import cooccurrence, mixing, packing, tokens, topn
 from graphloom.plans.registry import Registry
 from graphloom.runtime import load
 
@@ -77,3 +77,30 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _pairs(spark, sf_dir, 1, 0.0)
     return out.select("item_a", "item_b", "n_both", "n_a", "n_b", F.round("lift", 6).alias("lift"), F.round("pmi", 6).alias("pmi"))
+
+
+# ---------------------------------------------------------------- problem 8
+
+
+@query("p8_packed")
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_texts(load(spark, sf_dir, "documents"), "doc_id", "text", tokens.TOKENIZER)
+
+
+@query("p8_report")
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing_report(p8_packed(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- problem 9
+
+
+@query("p9_selected")
+def p9_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = mixing.read_targets(load(spark, sf_dir, "mix_targets"))
+    return mixing.select_mix(mixing.sized_documents(load(spark, sf_dir, "documents"), tokens.TOKENIZER), targets)
+
+
+@query("p9_shares")
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(p9_selected(spark, sf_dir), load(spark, sf_dir, "mix_targets"))
