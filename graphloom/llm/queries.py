@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import cooccurrence, mixing, packing, tokens, topn
+from graphloom.llm import cooccurrence, encoding_repair, mixing, packing, tokens, topn
 from graphloom.plans.registry import Registry
 from graphloom.runtime import load
 
@@ -104,3 +104,16 @@ def p9_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p9_shares")
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(p9_selected(spark, sf_dir), load(spark, sf_dir, "mix_targets"))
+
+
+# ---------------------------------------------------------------- problem 10
+
+
+@query("p10_found")
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding_repair.find_garbled(load(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query("p10_repaired")
+def p10_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding_repair.repair_texts(load(spark, sf_dir, "documents"), "doc_id", "text")
