@@ -259,8 +259,8 @@ class Repair:
 
 
 def _looks_clean(word: str, cost: float) -> bool:
-    """Whether the cost of a word is no more than that of its single characters."""
-    return cost <= sum(_kind(c)[2] for c in word) + 1e-9 and not any("\x80" <= c <= "\x9f" for c in word)
+    """Whether the cost of a word is no more than that of its single characters, none of which is an ideograph or control."""
+    return cost <= sum(_kind(c)[2] for c in word) + 1e-9 and not any("\x80" <= c <= "\x9f" or "\u3400" <= c < "\ud7b0" for c in word)
 
 
 def candidates(word: str, depth: int = 0) -> tuple[Repair, ...]:
