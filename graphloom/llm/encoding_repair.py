@@ -270,7 +270,8 @@ def candidates(word: str, depth: int = 0) -> tuple[Repair, ...]:
         return ()
     wide = any(c >= "\u2e80" for c in word)
     found: dict[str, Repair] = {}
-    for pairs, least in (([(x, "utf-8") for x in UTF8_READ_AS], UTF8_DROP), (OTHER_PAIRS, OTHER_DROP)):
+    tried = [([(x, "utf-8") for x in UTF8_READ_AS], UTF8_DROP), (OTHER_PAIRS, OTHER_DROP)]
+    for pairs, least in tried[: 1 if depth else 2]:  # only text that was UTF-8 nests
         for read_as, written_in in pairs:
             if read_as in MULTI_BYTE and not wide:
                 continue

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import cooccurrence, encoding_repair, mixing, packing, tokens, topn
+from graphloom.llm import cooccurrence, encoding_repair, mixing, packing, similar_vectors, tokens, topn
 from graphloom.plans.registry import Registry
 from graphloom.runtime import load
 
@@ -41,6 +41,34 @@ def p1_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _top(spark, sf_dir).withColumn("weight", F.round(F.col("weight").cast("double"), 4))
 
 
+# ---------------------------------------------------------------- problem 4
+
+DIM, NEIGHBOURS, ASK_EVERY = 32, 5, 20
+
+
+def _item_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "embedding_rows").select("row_index", "embedding")
+    return load(spark, sf_dir, "item_index").join(rows, "row_index").select("item_idx", "embedding")
+
+
+@query("p4_found")
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = similar_vectors.most_similar(_item_vectors(spark, sf_dir), "item_idx", "embedding", DIM, NEIGHBOURS)
+    pair = [F.least("item_a", "item_b").alias("item_a"), F.greatest("item_a", "item_b").alias("item_b")]
+    return near.select(*pair).distinct()
+
+
+@query("p4_recall")
+def p4_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index against brute force, for every item whose id is divisible by 20: true neighbours and those found."""
+    vectors = _item_vectors(spark, sf_dir)
+    asking = vectors.where(F.col("item_idx") % ASK_EVERY == 0).select(F.col("item_idx").alias("item"))
+    found = similar_vectors.most_similar(vectors, "item_idx", "embedding", DIM, NEIGHBOURS, asking)
+    true = similar_vectors.exact_neighbours(vectors, "item_idx", "embedding", DIM, NEIGHBOURS, asking)
+    hits = true.join(found.select("item_a", "item_b", F.lit(1).alias("hit")), ["item_a", "item_b"], "left")
+    return hits.agg(F.count(F.lit(1)).alias("true_neighbours"), F.count("hit").alias("found"), (F.count("hit") / F.count(F.lit(1))).alias("recall"))
+
+
 # ---------------------------------------------------------------- problem 7
 
 _P7_PAIRS = """
