@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -39,6 +40,28 @@ def shared_dir(spark: SparkSession) -> str:
 _held: list[tempfile.TemporaryDirectory] = []
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, removed when this process ends."""
+    path = f"{shared_dir(spark)}/graphloom/{label}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    _written.append((jvm, conf, path))
+    return path
+
+
+_written: list[tuple] = []
+
+
+@atexit.register
+def _remove_scratch() -> None:
+    for jvm, conf, path in _written:
+        try:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+        except Exception:  # the session may be gone; the folder then outlives it
+            return
+
+
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back.
 
@@ -46,6 +69,6 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     after any loss. Used where one intermediate feeds several later passes.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/graphloom/{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
