@@ -89,7 +89,7 @@ def rejects(raw: DataFrame) -> DataFrame:
     """
     left = records(raw).join(strict_load(raw).select("line_id"), "line_id", "left_anti")
     well_quoted = F.col("line").rlike(rf"\A{FIELD}(?:\t{FIELD})*+\z")
-    fields = F.when(well_quoted, F.regexp_extract_all("line", F.lit(rf"(?:\A|\t)({FIELD})"), 1))
+    fields = F.when(well_quoted, F.regexp_extract_all("line", F.lit(rf"(?:\A|(?<=\t))({FIELD})(?=\t|\z)"), 1))
     bare = F.transform(fields, lambda f: F.when(f.startswith('"'), F.replace(f.substr(F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))).otherwise(f))
     split = left.withColumn("fields", bare)
     at = lambda k: F.element_at("fields", k)
