@@ -35,7 +35,8 @@ RUSSIAN_PER_MILLE = {
 OPENING = frozenset("“‘«¡¿„‚‹")
 CLOSING = frozenset("”’»…“‘›")
 JOINING = frozenset("’–—‑")
-QUIET = frozenset("°ºªµ№€£§")
+QUIET = frozenset("°ºªµ")
+PLAIN = frozenset("№€£§")
 
 # The character sets a text may have been read in while it was UTF-8.
 UTF8_READ_AS = (
@@ -128,7 +129,7 @@ def _kind(ch: str) -> tuple[str, str, float]:
         script = unicodedata.name(ch, "?").split(" ", 1)[0].lower()
         kind = "capital" if category == "Lu" else "small" if category == "Ll" else "letter"
         return kind, script, {"latin": 0.65, "greek": 0.65, "cyrillic": 0.85}.get(script, 1.2)
-    return "symbol", "", 0.15 if ch in OPENING or ch in CLOSING or ch in JOINING or ch in QUIET else 0.45
+    return "symbol", "", 0.15 if ch in OPENING or ch in CLOSING or ch in JOINING or ch in QUIET or ch in PLAIN else 0.45
 
 
 def garbling_cost(word: str) -> float:
@@ -164,7 +165,7 @@ def garbling_cost(word: str) -> float:
             ideographs += script == "cjk"
         elif kind == "symbol":
             accents = 0
-            if own < 3 and ch not in QUIET:
+            if own < 3 and not (ch in QUIET and (at == 0 or word[at - 1].isascii())):
                 left, right = bool(before[1]), bool(after[1])
                 if left and right:
                     total += 0.0 if ch in "’" else 0.2 if ch in JOINING else 1.2
@@ -375,7 +376,7 @@ def repair_texts(df: DataFrame, item: str, text: str) -> DataFrame:
     garbled; texts of any length are read whole; repeated rows come out as often as they occur; an empty table gives
     an empty result. Other columns are ignored. No shuffle.
     """
-    schema = df.select(item).schema.add("charsets", "string").add("n_words", "int").add("n_lost", "int").add("repaired", "string")
+    schema = df.select(item).schema.add("charsets", "string").add("n_words", "integer").add("n_lost", "integer").add("repaired", "string")
 
     def row(repairer: Repairer, i: object, t: str) -> list[tuple]:
         found = repairer.repair(t)
