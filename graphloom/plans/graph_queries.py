@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.scalar import draw, lenient_int, suffix_int, vertex_id, vertex_kind
-from graphloom.operators import evaluation, lightgcn, ranking, storage
+from graphloom.operators import evaluation, lightgcn, ranking, storage, training
 from graphloom.plans.registry import Registry
-from graphloom.runtime import load, scratch
+from graphloom.runtime import load, materialize, scratch
 from graphloom.serving import live_entries
 from graphloom.sources import edges as sources
 from graphloom.streaming import ingest as streaming
@@ -47,6 +47,11 @@ _FOLLOWS = """f0 AS (
 ), log AS (
   SELECT 'user:' || user_id AS src, 'user:' || next_id AS dst, 'follow' AS etype, 1.0::DOUBLE AS weight FROM f0 WHERE next_id IS NOT NULL AND user_id IS NOT NULL
 ), e AS (SELECT DISTINCT src, dst, etype, weight FROM log)"""
+_INTERACTIONS = """log AS (
+  SELECT 'profile:' || profile_id AS src, tipo || ':' || db_id AS dst, 'interaction' AS etype, coalesce(CAST(weight AS DOUBLE), 1.0) AS weight
+  FROM interactions JOIN (SELECT DISTINCT user_idx, profile_id FROM users WHERE profile_id IS NOT NULL) USING (user_idx)
+  JOIN (SELECT DISTINCT item_idx, tipo, db_id FROM items WHERE db_id IS NOT NULL) USING (item_idx) WHERE weight IS NULL OR NOT isnan(weight)
+), e AS (SELECT DISTINCT src, dst, etype, weight FROM log)"""
 _SEED_LIST = ", ".join(f"('{s}')" for s in SEEDS)
 
 
@@ -118,6 +123,11 @@ def edges_follows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.follows(spark, sf_dir).drop("ts", "seq")
 
 
+@query("edges_interactions", f"WITH {_INTERACTIONS} SELECT src, dst, etype, round(weight, 4) AS weight FROM log")
+def edges_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.interactions(spark, sf_dir).drop("ts").withColumn("weight", F.round("weight", 4))
+
+
 @query("edges_bidirectional", f"WITH {_LOG} SELECT src, dst, etype, weight FROM log UNION ALL SELECT dst, src, etype, weight FROM log")
 def edges_bidirectional(spark: SparkSession, sf_dir: str) -> DataFrame:
     return storage.both_ways(_log(spark, sf_dir).drop("ts"))
@@ -230,6 +240,12 @@ def global_rank_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(ranking.global_rank(storage.stored_edges(log), storage.vertices(log), 50, "part:"), "score")
 
 
+@query("global_rank_interactions", _global_sql(_INTERACTIONS, 50, "post:", 1))
+def global_rank_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = sources.interactions(spark, sf_dir)
+    return _rounded(ranking.global_rank(storage.stored_edges(log), storage.vertices(log), 50, "post:"), "score")
+
+
 def _similar_sql(head: str, normalize: str, degree: str, least: int, k: int) -> str:
     item = "overlap" if degree == "overlap" else "b.n"
     score = {"raw": "overlap::DOUBLE", "jaccard": f"overlap::DOUBLE / (a.n + {item} - overlap)", "cosine": f"overlap::DOUBLE / sqrt(a.n::DOUBLE * {item})"}[normalize]
@@ -408,6 +424,24 @@ def embed_topk_exclude_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lightgcn.score_top_k(*_sides(spark, sf_dir), 20, seen)
 
 
+TRAINING = training.TrainingOptions(embedding_dim=16, layers=2, epochs=60, batch_size=256, learning_rate=0.02)
+
+
+@query("lightgcn_train")
+def lightgcn_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings trained on the activity graph."""
+    return training.train(_edges(spark, sf_dir), storage.vertices(_log(spark, sf_dir)), "user:", TRAINING)
+
+
+@query("lightgcn_recommend")
+def lightgcn_recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best unseen items of every user by embeddings trained on the activity graph."""
+    model = materialize(lightgcn_train(spark, sf_dir), "model")
+    users, items = (model.where(F.col("side") == side).select("id", "v") for side in ("user", "item"))
+    seen = _edges(spark, sf_dir).select(F.col("src").alias("user"), F.col("dst").alias("item")).distinct()
+    return lightgcn.score_top_k(users, items, 10, seen)
+
+
 # ---------------------------------------------------------------- evaluation
 
 _SPLIT = f"""{_E}, q AS (SELECT DISTINCT src AS "user", dst AS item FROM e),

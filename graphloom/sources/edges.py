@@ -39,6 +39,18 @@ def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edge_log(rows, vertex_id("customer", F.col("o_custkey")), vertex_id("part", F.col("l_partkey")), F.col("l_returnflag"), F.lit(1.0), F.col("o_orderdate").alias("ts"))
 
 
+def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """profile -> item edges of all interactions whose user and item are known; a null weight is 1.0, a NaN no edge.
+
+    Users and items that are repeated as whole rows count once.
+    """
+    i = load(spark, sf_dir, "interactions").select("user_idx", "item_idx", "weight", "inserted_at").where(~F.isnan(F.coalesce("weight", F.lit(1.0))))
+    u = load(spark, sf_dir, "users").select("user_idx", "profile_id").where(F.col("profile_id").isNotNull()).distinct()
+    t = load(spark, sf_dir, "items").where(F.col("db_id").isNotNull()).select("item_idx", F.concat_ws(":", "tipo", F.col("db_id").cast("string")).alias("item")).distinct()
+    rows = i.join(u, "user_idx").join(t, "item_idx")
+    return edge_log(rows, vertex_id("profile", F.col("profile_id")), F.col("item"), F.lit("interaction"), F.col("weight"), F.col("inserted_at").alias("ts"))
+
+
 def follows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """user -> user edges: each signup points at the next one in time."""
     s = load(spark, sf_dir, "events").where(F.col("event_type") == "signup").select("ts", "event_id", "user_id")
