@@ -15,6 +15,8 @@ from graphloom.runtime import materialize
 
 RESET = 0.15
 WALK_LENGTH = 10
+#: Steps after which a walk's state is written and its plan begins anew.
+CUT_EVERY = 10
 
 
 def _best(value: str) -> list[Column]:
@@ -48,7 +50,8 @@ def expected_visits(edges: DataFrame, seeds: DataFrame, walk_length: int = WALK_
     """
     if walk_length < 1:
         raise ValueError("walk_length must be positive")
-    flows = _flows(edges)
+    # every step reads the same flows: written once, so that a step's plan is a scan, a join and an aggregation
+    flows = materialize(_flows(edges), "flows")
     known = flows.where(F.col("kind") == "keep").select(F.col("src").alias("id"))
     one = F.lit(1.0)
     state = seeds.select("id").distinct().join(known, "id", "left_semi").select(F.col("id").alias("seed"), "id", one.alias("mass"), one.alias("visits"))
@@ -60,7 +63,9 @@ def expected_visits(edges: DataFrame, seeds: DataFrame, walk_length: int = WALK_
         .when(F.col("kind") == "keep", F.array(to(F.col("dst"), none, F.col("visits"))))
         .otherwise(F.array(to(F.col("seed"), move, none)))
     )
-    for _ in range(walk_length - 1):
+    for step in range(1, walk_length):
+        if step % CUT_EVERY == 0:
+            state = materialize(state, "visits")
         spread = state.join(flows, F.col("id") == F.col("src")).select("seed", F.inline(parts))
         state = spread.groupBy("seed", "id").agg(F.sum("m").alias("mass"), (F.sum("v") + F.sum("m")).alias("visits"))
     return state.select("seed", "id", "visits")
@@ -77,15 +82,17 @@ def simulated_visits(
     if num_walks < 1 or walk_length < 1:
         raise ValueError("num_walks and walk_length must be positive")
     by = Window.partitionBy("src").orderBy("dst", "etype", "weight")
-    numbered = edges.select("src", "dst", (F.row_number().over(by) - 1).alias("nth"))
-    out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("out")).select(F.col("src").alias("at"), "out")
-    known = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    numbered = materialize(edges.select("src", "dst", (F.row_number().over(by) - 1).alias("nth")), "numbered-edges")
+    out = numbered.groupBy("src").agg(F.count(F.lit(1)).alias("out")).select(F.col("src").alias("at"), "out")
+    known = numbered.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     walkers = (
         seeds.select("id").distinct().join(known, "id", "left_semi")
         .select(F.col("id").alias("seed"), F.explode(F.sequence(F.lit(1), F.lit(num_walks))).alias("walk"))
         .select("seed", "walk", F.col("seed").alias("at"), F.array("seed").alias("path"))
     )
     for step in range(1, walk_length):
+        if step % CUT_EVERY == 0:
+            walkers = materialize(walkers, "walkers")
         key = (F.lit(random_seed), F.col("seed"), F.col("walk"), F.lit(step))
         stays = (draw(*key, 0) >= int(reset * 2**32)) & F.col("out").isNotNull()
         choosing = walkers.join(out, "at", "left").withColumn("pick", F.when(stays, draw(*key, 1) % F.col("out")))
