@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from graphloom.llm.tokens import spread
+
 # Letters of Portuguese, English, Spanish, German, French and Russian beyond ASCII.
 LATIN_SMALL = frozenset("áàâãäåçéèêëíìîïñóòôõöøúùûüÿæœß")
 LATIN_CAPITAL = frozenset("ÁÀÂÃÄÅÇÉÈÊËÍÌÎÏÑÓÒÔÕÖØÚÙÛÜŸÆŒ")
@@ -354,7 +356,7 @@ def _repair_rows(df: DataFrame, item: str, text: str, schema, row) -> DataFrame:
                 yield _batch(rows, arrow)
 
     arrow = to_arrow_schema(schema)
-    return suspects.mapInArrow(work, schema)
+    return spread(suspects).mapInArrow(work, schema)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:

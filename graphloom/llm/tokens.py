@@ -26,6 +26,12 @@ def _encoding(path: str):
     return tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores; one that has them is left alone, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def count_tokens(df: DataFrame, text: str, tokenizer: str = TOKENIZER, keep: tuple[str, ...] = ()) -> DataFrame:
     """The columns ``keep`` and ``n_tokens BIGINT``, the size of the whole ``text`` (null for null, 0 for '').
 
@@ -44,4 +50,4 @@ def count_tokens(df: DataFrame, text: str, tokenizer: str = TOKENIZER, keep: tup
                 columns = [part.column(k) for k in range(len(kept))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int64())], names=[*kept, "n_tokens"])
 
-    return df.select(*keep, df[text].alias("text_to_size")).mapInArrow(size, schema)
+    return spread(df.select(*keep, df[text].alias("text_to_size"))).mapInArrow(size, schema)
