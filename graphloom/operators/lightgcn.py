@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.sequence import number_rows
 from graphloom.operators.storage import ranked
 
 
@@ -20,6 +21,12 @@ def split_vertices(all_vertices: DataFrame, user_prefix: str) -> tuple[DataFrame
     return all_vertices.where(is_user), all_vertices.where(~is_user)
 
 
+def row_index(all_vertices: DataFrame, user_prefix: str) -> DataFrame:
+    """(``id``, ``side``, ``row``): consecutive rows from 0, users in the order of their ids, then items in theirs."""
+    sided = all_vertices.select("id", F.when(F.col("id").startswith(user_prefix), "user").otherwise("item").alias("side"))
+    return number_rows(sided.withColumn("second", F.col("side") == "item"), ["second", "id"], "row", 0).select("id", "side", "row")
+
+
 def weighted_pairs(edges: DataFrame, user_prefix: str) -> DataFrame:
     """(``user``, ``item``, ``weight``): the weights of the edges between a user and an item in either direction, summed.
 

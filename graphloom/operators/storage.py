@@ -34,8 +34,9 @@ def assign_segments(log: DataFrame, max_edges: int) -> DataFrame:
 def segment_meta(segmented: DataFrame) -> DataFrame:
     """(``segment_id``, ``created_at``, ``edge_count``, ``active``): created by its first insert; the last is active."""
     meta = segmented.groupBy("segment_id").agg(F.min("ts").alias("created_at"), F.count(F.lit(1)).alias("edge_count"))
-    newest = segmented.agg(F.max("segment_id").alias("newest"))
-    return meta.join(F.broadcast(newest), F.lit(True), "inner").withColumn("active", F.col("segment_id") == F.col("newest")).drop("newest")
+    # a row per segment, so one window may look at all of them
+    every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return meta.withColumn("active", F.col("segment_id") == F.max("segment_id").over(every))
 
 
 def expired_segments(meta: DataFrame, cutoff: Column) -> DataFrame:

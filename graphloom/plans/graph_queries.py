@@ -356,6 +356,14 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lightgcn.weighted_pairs(_edges(spark, sf_dir), "user:")
 
 
+@query(
+    "lightgcn_row_index",
+    f"WITH {_LOG}, {_V}, n AS (SELECT id, CASE WHEN starts_with(id, 'user:') THEN 'user' ELSE 'item' END AS side FROM v) SELECT id, side, row_number() OVER (ORDER BY side = 'item', id) - 1 AS row FROM n",
+)
+def lightgcn_row_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lightgcn.row_index(storage.vertices(_log(spark, sf_dir)), "user:")
+
+
 @query("weighted_pairs", f'WITH {_PAIRS} SELECT "user", item, round(weight, 6) AS weight FROM w')
 def weighted_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_pairs(spark, sf_dir), "weight")
@@ -460,11 +468,7 @@ pu AS (SELECT z."user", coalesce(hits, 0)::DOUBLE / n AS recall, coalesce(hits,
 def _evaluated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(training pairs, test pairs, ranking): the most popular items of the training data that a user hasn't had."""
     train, test = evaluation.split(_edges(spark, sf_dir).select(F.col("src").alias("user"), F.col("dst").alias("item")))
-    # the k most popular unseen items of a user are among the k + (items they had) most popular; walk down that list
-    popular = train.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
-    users = test.select("user").distinct()
-    candidates = users.join(popular, F.lit(True), "inner").join(train, ["user", "item"], "left_anti")
-    return train, test, storage.ranked(candidates, 20, [F.col("n").desc(), F.col("item").asc()], ["user"])
+    return train, test, evaluation.popular_unseen(train, test, 20)
 
 
 @query("train_test_split", f'WITH {_SPLIT} SELECT "user", item, held FROM h')
@@ -485,7 +489,7 @@ def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT round(avg(least(20.0::DOUBLE / greatest(m.n - coalesce(k.n, 0), 1), 1)), 6) AS baseline FROM (SELECT DISTINCT "user" FROM test) LEFT JOIN k USING ("user"), m""",
 )
 def random_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, test, _ = _evaluated(spark, sf_dir)
+    train, test = evaluation.split(_edges(spark, sf_dir).select(F.col("src").alias("user"), F.col("dst").alias("item")))
     return _rounded(evaluation.random_baseline(train, evaluation.truth(test, train), 20), "baseline")
 
 

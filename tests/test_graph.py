@@ -339,3 +339,14 @@ def test_span_tells_of_failures():
     with pytest.raises(KeyError), t.span("work"):
         raise KeyError
     assert told == ["work.start", "work.exception"] and math.isfinite(len(told))
+
+
+def test_popular_unseen(spark):
+    train = spark.createDataFrame([("u", "a"), ("w", "a"), ("x", "a"), ("w", "b"), ("x", "b"), ("x", "c")], "user string, item string")
+    users = seed(spark, "u", "w", "new").withColumnRenamed("id", "user")
+    assert rows(evaluation.popular_unseen(train, users, 2), "user", "rank", "item") == [("new", 1, "a"), ("new", 2, "b"), ("u", 1, "b"), ("u", 2, "c"), ("w", 1, "c")]
+
+
+def test_row_index(spark):
+    v = storage.vertices(edges_of(spark, "u2>b u1>a u1>b"))
+    assert rows(lightgcn.row_index(v, "u"), "row", "id", "side") == [(0, "u1", "user"), (1, "u2", "user"), (2, "a", "item"), (3, "b", "item")]
