@@ -16,8 +16,10 @@ def scored_pairs(df: DataFrame, group: str, item: str, score: str) -> DataFrame:
 
     Combines before the shuffle; other columns, whatever their names, are dropped first.
     """
-    rows = df.select(F.col(group).alias("g"), F.col(item).alias("i"), (F.col(score) + F.lit(0).cast("float")).alias("s"))
-    return rows.where(F.col("g").isNotNull() & F.col("i").isNotNull() & F.col("s").isNotNull() & ~F.isnan("s"))
+    rows = df.select(F.col(group).alias("g"), F.col(item).alias("i"), F.col(score).alias("s")).dropna()
+    if (kind := dict(df.dtypes)[score]) in ("float", "double"):
+        rows = rows.where(~F.isnan("s")).withColumn("s", F.col("s") + F.lit(0).cast(kind))  # -0.0 becomes 0.0
+    return rows
 
 
 def top_n(

@@ -36,6 +36,13 @@ def test_top_n_matches_brute_force(spark, share, salt_rows):
         topn.top_n(df, "u", "item", "w", 0)
 
 
+def test_top_n_of_whole_numbers_and_signed_zeros(spark):
+    df = spark.createDataFrame([(1, 5, 2**53 + 1), (1, 4, 2**53), (1, 3, None)], "u int, x int, w bigint")
+    assert rows(topn.top_n(df, "u", "x", "w", 2), "rank", "x", "w") == [(1, 5, 2**53 + 1), (2, 4, 2**53)]
+    zeros = spark.createDataFrame([(1, 5, -0.0), (1, 6, 0.0)], "u int, x int, w double")
+    assert rows(topn.top_n(zeros, "u", "x", "w", 2), "rank", "x") == [(1, 5), (2, 6)]
+
+
 # -- items together
 
 
