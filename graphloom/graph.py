@@ -37,7 +37,7 @@ class InvalidEmbeddings(ValueError):
 def _accepted(fn: Callable, options: dict[str, Any]) -> dict[str, Any]:
     names = inspect.signature(fn).parameters
     if any(p.kind is inspect.Parameter.VAR_KEYWORD for p in names.values()):
-        names = [*names, "walk_length", "reset_prob", "mode", "num_walks", "random_seed"]
+        names = [*names, "walk_length", "reset_prob", "mode", "num_walks", "random_seed", "weighted"]
     return {k: v for k, v in options.items() if k in names}
 
 
@@ -246,6 +246,14 @@ class Graph:
                 self.store.put(key, result, self.config.result_ttl)
             return result
 
+    def similar(self, entities: str | Iterable[str] | DataFrame, **options: Any) -> DataFrame:
+        """``recommend`` by shared sources."""
+        return self.recommend(entities, algorithm="similar_items", **options)
+
+    def circle_of_trust(self, entities: str | Iterable[str] | DataFrame, size: int = 100, **walk: Any) -> DataFrame:
+        """(``seed``, ``id``): the vertices each of the given ones visits most."""
+        return ranking.circle_of_trust(self.edges, self._seeds(entities)[0], size, **walk)
+
     # -- embeddings
 
     def train_embeddings(self, path: str, user_prefix: str, **options: Any) -> dict[str, Any]:

@@ -23,17 +23,23 @@ def _best(value: str) -> list[Column]:
     return [F.round(value, 9).desc(), F.col("id").asc()]
 
 
-def transitions(edges: DataFrame) -> DataFrame:
-    """(``src``, ``dst``, ``p``): a step goes along any stored edge row alike, so parallel edges count as often."""
-    rows = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
-    out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
+def transitions(edges: DataFrame, weighted: bool = False) -> DataFrame:
+    """(``src``, ``dst``, ``p``): a step goes along any stored edge row alike, so parallel edges count as often.
+
+    With ``weighted`` it goes along an edge in proportion to its weight, and never along one without a positive weight.
+    """
+    used = edges.where(F.col("weight") > 0) if weighted else edges
+    amount = F.sum("weight") if weighted else F.count(F.lit(1))
+    rows = used.groupBy("src", "dst").agg(amount.alias("n"))
+    out = used.groupBy("src").agg(amount.alias("out"))
     return rows.join(out, "src").select("src", "dst", (F.col("n") / F.col("out")).alias("p"))
 
 
-def _flows(edges: DataFrame) -> DataFrame:
+def _flows(edges: DataFrame, weighted: bool = False) -> DataFrame:
     """Transitions with two more kinds of rows: one per vertex that keeps its visits, one per vertex without a way out."""
-    p = transitions(edges).select("src", "dst", "p", F.lit("step").alias("kind"))
-    ends = edges.select(F.inline(F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("out")), F.struct(F.col("dst").alias("id"), F.lit(0).alias("out")))))
+    p = transitions(edges, weighted).select("src", "dst", "p", F.lit("step").alias("kind"))
+    leaves = F.when(F.col("weight") > 0, 1).otherwise(0) if weighted else F.lit(1)
+    ends = edges.select(F.inline(F.array(F.struct(F.col("src").alias("id"), leaves.alias("out")), F.struct(F.col("dst").alias("id"), F.lit(0).alias("out")))))
     known = ends.groupBy("id").agg(F.max("out").alias("out"))
     keep = F.struct(F.col("id").alias("dst"), F.lit(0.0).alias("p"), F.lit("keep").alias("kind"))
     lost = F.struct(F.col("id").alias("dst"), F.lit(1.0).alias("p"), F.lit("lost").alias("kind"))
@@ -41,7 +47,7 @@ def _flows(edges: DataFrame) -> DataFrame:
     return p.unionByName(more)
 
 
-def expected_visits(edges: DataFrame, seeds: DataFrame, walk_length: int = WALK_LENGTH, reset: float = RESET) -> DataFrame:
+def expected_visits(edges: DataFrame, seeds: DataFrame, walk_length: int = WALK_LENGTH, reset: float = RESET, weighted: bool = False) -> DataFrame:
     """(``seed``, ``id``, ``visits``): the expected visits of a walk of ``walk_length`` vertices from each seed.
 
     After each visit the walk returns to the seed with probability ``reset``, else follows an edge row at random;
@@ -51,7 +57,7 @@ def expected_visits(edges: DataFrame, seeds: DataFrame, walk_length: int = WALK_
     if walk_length < 1:
         raise ValueError("walk_length must be positive")
     # every step reads the same flows: written once, so that a step's plan is a scan, a join and an aggregation
-    flows = materialize(_flows(edges), "flows")
+    flows = materialize(_flows(edges, weighted), "flows")
     known = flows.where(F.col("kind") == "keep").select(F.col("src").alias("id"))
     one = F.lit(1.0)
     state = seeds.select("id").distinct().join(known, "id", "left_semi").select(F.col("id").alias("seed"), "id", one.alias("mass"), one.alias("visits"))
@@ -102,14 +108,17 @@ def simulated_visits(
     return visited.groupBy("seed", "id").agg(F.count(F.lit(1)).cast("double").alias("visits"))
 
 
-def pagerank(edges: DataFrame, seeds: DataFrame, top_k: int = 100, walk_length: int = WALK_LENGTH, reset_prob: float = RESET, mode: str = "exact", num_walks: int = 1000, random_seed: int = 42) -> DataFrame:
-    """(``seed``, ``id``, ``score``, ``rank``): the most visited vertices, the seed left out; scores add up to 1."""
+def pagerank(edges: DataFrame, seeds: DataFrame, top_k: int = 100, walk_length: int = WALK_LENGTH, reset_prob: float = RESET, mode: str = "exact", num_walks: int = 1000, random_seed: int = 42, weighted: bool = False) -> DataFrame:
+    """(``seed``, ``id``, ``score``, ``rank``): the most visited vertices, the seed left out; scores add up to 1.
+
+    ``weighted`` steps (see ``transitions``) are for the exact mode.
+    """
     if mode == "exact":
-        visits = expected_visits(edges, seeds, walk_length, reset_prob)
-    elif mode == "monte_carlo":
+        visits = expected_visits(edges, seeds, walk_length, reset_prob, weighted)
+    elif mode == "monte_carlo" and not weighted:
         visits = simulated_visits(edges, seeds, num_walks, walk_length, reset_prob, random_seed)
     else:
-        raise ValueError("mode must be exact or monte_carlo")
+        raise ValueError("mode must be exact or, without weighted, monte_carlo")
     kept = ranked(visits.where((F.col("id") != F.col("seed")) & (F.round("visits", 9) > 0)), top_k, _best("visits"), ["seed"])
     whole = F.sum("visits").over(Window.partitionBy("seed"))
     return kept.select("seed", "id", (F.col("visits") / whole).alias("score"), "rank")

@@ -168,6 +168,21 @@ def test_simulated_walks_agree_with_expectation(spark):
         ranking.simulated_visits(e, seed(spark, "A"), 0)
 
 
+def test_weighted_steps(spark):
+    e = edges_of(spark, "A>B A>C A>D E>A").withColumn("weight", F.when(F.col("dst") == "B", 3.0).when(F.col("dst") == "C", 1.0).otherwise(0.0))
+    v = {r["id"]: r["visits"] for r in ranking.expected_visits(e, seed(spark, "A", "E"), 2, 0.0, weighted=True).where("seed = 'A'").collect()}
+    assert v == {"A": 1.0, "B": 0.75, "C": 0.25}
+    lost = {r["id"]: r["visits"] for r in ranking.expected_visits(e, seed(spark, "E"), 3, 0.0, weighted=True).collect()}
+    assert lost == {"E": 3.0}
+
+
+def test_long_walks_are_cut(spark):
+    v = {r["id"]: r["visits"] for r in ranking.expected_visits(edges_of(spark, "A>B B>A"), seed(spark, "A"), 23, 0.0).collect()}
+    assert v == {"A": 12.0, "B": 11.0}
+    counted = {r["id"]: r["visits"] for r in ranking.simulated_visits(edges_of(spark, "A>B B>A"), seed(spark, "A"), 2, 12, 0.0).collect()}
+    assert counted == {"A": 12.0, "B": 12.0}
+
+
 SALSA = "u1>a u1>b u2>a u2>c u3>b u3>c u3>d"
 
 
