@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Buckets of a group.
-BUCKETS = 256
+BUCKETS = 1_024
 
 
 def bucket_of(hashed: Column, buckets: int = BUCKETS) -> Column:
