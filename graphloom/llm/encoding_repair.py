@@ -13,7 +13,6 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -73,10 +72,14 @@ RUN = re.compile("[^\\x00-\\x7f]+")
 NOT_ASCII = "[^\\x00-\\x7f]"
 
 
-@lru_cache(maxsize=None)
+_tables: dict[str, dict[int, int]] = {}
+
+
 def _to_bytes(charset: str) -> dict[int, int]:
     """Character to byte of a single-byte set; bytes without a character stand for control characters, as browsers have it."""
-    table = {}
+    if charset in _tables:
+        return _tables[charset]
+    table = _tables[charset] = {}
     for b in range(0x80, 0x100):
         try:
             table[ord(bytes([b]).decode(charset))] = b
@@ -85,8 +88,15 @@ def _to_bytes(charset: str) -> dict[int, int]:
     return table
 
 
-@lru_cache(maxsize=65_536)
-def _kind(ch: str) -> tuple[str, str, float]:
+class _Kinds(dict):
+    """What is known of each character met so far."""
+
+    def __missing__(self, ch: str) -> tuple[str, str, float]:
+        self[ch] = found = _kind_of(ch)
+        return found
+
+
+def _kind_of(ch: str) -> tuple[str, str, float]:
     """What a character is, its script if it is a letter, and its own cost."""
     o = ord(ch)
     if o < 0x80:
@@ -134,6 +144,13 @@ def _kind(ch: str) -> tuple[str, str, float]:
     return "symbol", "", 0.15 if ch in OPENING or ch in CLOSING or ch in JOINING or ch in QUIET or ch in PLAIN else 0.45
 
 
+_kinds = _Kinds()
+
+
+def _kind(ch: str) -> tuple[str, str, float]:
+    return _kinds[ch]
+
+
 def garbling_cost(word: str) -> float:
     """How much a word looks garbled: 0 for ASCII, about 0.15 a character for what is expected in the six languages."""
     if word.isascii():

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,13 +16,17 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 BATCH_ROWS = 256
 
 
-@lru_cache(maxsize=4)
 def _encoding(path: str):
+    """The encoding of a vocabulary file, kept with the interpreter, for tasks bring this module along anew."""
     import tiktoken
 
+    kept = tiktoken.__dict__.setdefault("_by_path", {})
+    if path in kept:
+        return kept[path]
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    kept[path] = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return kept[path]
 
 
 def spread(df: DataFrame) -> DataFrame:
