@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.runtime import materialize
+
 MIN_US, MAX_US = -(2**63), 2**63 - 1
 
 #: A key with at least this share of all references is broadcast; there are at most 1 / HOT_SHARE of them.
@@ -108,9 +110,10 @@ def orphan_rows(refs: Sequence[References], targets: Sequence[DataFrame], hot_sh
     total = every.count()
     hot = F.broadcast(counts.where(F.col("refs") >= F.lit(max(2.0, hot_share * total))).select("space", "key"))
     # one row of the ledger at most matches a reference: the one that holds at its time, or the first if it has none
-    alive = ledger.where((F.col("exists") > 0) | F.col("first")).select(
+    # both branches below read it: written once, so five tables aren't brought together twice
+    alive = materialize(ledger.where((F.col("exists") > 0) | F.col("first")).select(
         F.col("space").alias("t_space"), F.col("key").alias("t_key"), "from_us", "to_us", (F.col("exists") > 0).alias("lives"), "first"
-    )
+    ), "existence")
     same = (F.col("space") == F.col("t_space")) & (F.col("key") == F.col("t_key"))
     holds = F.when(F.col("at_us").isNull(), F.col("first")).otherwise(
         F.col("lives") & (F.col("at_us") >= F.col("from_us")) & (F.col("at_us") < F.col("to_us"))
