@@ -65,9 +65,9 @@ def expected_visits(edges: DataFrame, seeds: DataFrame, walk_length: int = WALK_
     to = lambda node, mass, visits: F.struct(node.alias("id"), mass.alias("m"), visits.alias("v"))
     none = F.lit(0.0)
     parts = (
-        F.when(F.col("kind") == "step", F.array(to(F.col("dst"), move * (1 - reset), none), to(F.col("seed"), move * reset, none)))
-        .when(F.col("kind") == "keep", F.array(to(F.col("dst"), none, F.col("visits"))))
-        .otherwise(F.array(to(F.col("seed"), move, none)))
+        F.when(F.col("kind") == "step", F.array(to(F.col("dst"), move * (1 - reset), none)))
+        .when(F.col("kind") == "keep", F.array(to(F.col("dst"), none, F.col("visits")), to(F.col("seed"), F.col("mass") * reset, none)))
+        .otherwise(F.array(to(F.col("seed"), F.col("mass") * (1 - reset), none)))
     )
     for step in range(1, walk_length):
         if step % CUT_EVERY == 0:

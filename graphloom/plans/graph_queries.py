@@ -53,14 +53,16 @@ _INTERACTIONS = """log AS (
   JOIN (SELECT DISTINCT item_idx, tipo, db_id FROM items WHERE db_id IS NOT NULL) USING (item_idx) WHERE weight IS NULL OR NOT isnan(weight)
 ), e AS (SELECT DISTINCT src, dst, etype, weight FROM log)"""
 _SEED_LIST = ", ".join(f"('{s}')" for s in SEEDS)
+_SIX = f"(VALUES {_SEED_LIST}) x(id)"
+_ALL_USERS = "(SELECT DISTINCT 'user:' || user_id AS id FROM events WHERE user_id IS NOT NULL) x(id)"
 
 
-def _ppr_sql(edges: str, length: int = WALK, r: float = ranking.RESET) -> str:
+def _ppr_sql(edges: str, length: int = WALK, r: float = ranking.RESET, seeds: str = _SIX) -> str:
     """The expected visits of every seed as a chain of steps."""
     sql = f""", p AS MATERIALIZED (
   SELECT src, dst, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY src) AS p FROM {edges} GROUP BY src, dst
 ), outs AS MATERIALIZED (SELECT DISTINCT src FROM {edges}
-), seeds AS MATERIALIZED (SELECT DISTINCT id AS seed FROM (VALUES {_SEED_LIST}) x(id) WHERE id IN (SELECT src FROM {edges} UNION SELECT dst FROM {edges})
+), seeds AS MATERIALIZED (SELECT DISTINCT id AS seed FROM {seeds} WHERE id IN (SELECT src FROM {edges} UNION SELECT dst FROM {edges})
 ), p0 AS MATERIALIZED (SELECT seed, seed AS id, 1.0::DOUBLE AS mass FROM seeds)"""
     for t in range(1, length):
         q = f"p{t - 1}"
@@ -101,6 +103,10 @@ def _seeds(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(s,) for s in SEEDS], "id string")
 
 
+def _all_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "events").where(F.col("user_id").isNotNull()).select(vertex_id("user", F.col("user_id")).alias("id")).distinct()
+
+
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, 6) for n in names})
 
@@ -288,15 +294,15 @@ def ppr_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(ranking.expected_visits(storage.stored_edges(sources.follows(spark, sf_dir)), _seeds(spark), 8), "visits")
 
 
-def _walk_sql() -> str:
+def _walk_sql(seeds: str = f"(VALUES {_SEED_LIST}) s(id)", walks: int = WALKS, steps: int = WALK_STEPS) -> str:
     rnd = lambda t, c: f"('0x' || substr(md5('42|' || seed || '|' || walk || '|{t}|{c}'), 1, 8))::BIGINT"
     sql = f"""WITH {_BOTH}, n AS MATERIALIZED (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst, etype, weight) - 1 AS nth, count(*) OVER (PARTITION BY src) AS out FROM b),
-w0 AS MATERIALIZED (SELECT s.id AS seed, walk, s.id AS place FROM (VALUES {_SEED_LIST}) s(id), range(1, {WALKS + 1}) r(walk) WHERE s.id IN (SELECT src FROM b))"""
-    for t in range(1, WALK_STEPS):
+w0 AS MATERIALIZED (SELECT s.id AS seed, walk, s.id AS place FROM {seeds}, range(1, {walks + 1}) r(walk) WHERE s.id IN (SELECT src FROM b))"""
+    for t in range(1, steps):
         sql += f""", w{t} AS MATERIALIZED (SELECT seed, walk, coalesce(n.dst, seed) AS place FROM (
   SELECT w.seed, w.walk, w.place, CASE WHEN {rnd(t, 0)} >= {int(ranking.RESET * 2**32)} THEN {rnd(t, 1)} % o.out END AS pick
   FROM w{t - 1} w LEFT JOIN (SELECT DISTINCT src, out FROM n) o ON o.src = w.place) c LEFT JOIN n ON n.src = c.place AND n.nth = c.pick)"""
-    every = " UNION ALL ".join(f"SELECT * FROM w{t}" for t in range(WALK_STEPS))
+    every = " UNION ALL ".join(f"SELECT * FROM w{t}" for t in range(steps))
     return sql + f" SELECT seed, place AS id, count(*)::DOUBLE AS visits FROM ({every}) GROUP BY ALL"
 
 
@@ -310,12 +316,13 @@ def circle_of_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.circle_of_trust(_both(spark, sf_dir), _seeds(spark), CIRCLE)
 
 
-_SALSA = f"""WITH {_BOTH}{_ppr_sql('b')}{_ppr_ranked(CIRCLE)},
+_LINKS = """,
 hubs AS MATERIALIZED (SELECT seed, id AS hub, 1.0::DOUBLE / count(*) OVER (PARTITION BY seed) AS share FROM kept),
 rows AS MATERIALIZED (SELECT src, dst, count(*) AS n, sum(count(*)) OVER (PARTITION BY src) AS out FROM b GROUP BY src, dst),
 links AS MATERIALIZED (SELECT seed, hub, share, dst, n, out FROM hubs JOIN rows ON src = hub),
 a1 AS MATERIALIZED (SELECT seed, dst, sum(share * n / out) AS score FROM links GROUP BY seed, dst),
 got AS MATERIALIZED (SELECT seed, dst, sum(n) AS n FROM links GROUP BY seed, dst)"""
+_SALSA = f"WITH {_BOTH}{_ppr_sql('b')}{_ppr_ranked(CIRCLE)}" + _LINKS
 
 
 def _salsa_end(last: str) -> str:
@@ -329,8 +336,7 @@ def salsa(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(ranking.salsa(_both(spark, sf_dir), _seeds(spark), 20, CIRCLE), "score")
 
 
-def _feedback_sql(iterations: int) -> str:
-    sql = _SALSA
+def _feedback_sql(iterations: int, sql: str = _SALSA) -> str:
     for k in range(2, iterations + 1):
         sql += f""", h{k} AS MATERIALIZED (SELECT l.seed, l.hub, sum(a.score * l.n / g.n) AS share FROM links l
   JOIN a{k - 1} a ON a.seed = l.seed AND a.dst = l.dst JOIN got g ON g.seed = l.seed AND g.dst = l.dst GROUP BY 1, 2),
@@ -343,6 +349,45 @@ def salsa_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(ranking.salsa(_both(spark, sf_dir), _seeds(spark), 20, CIRCLE, 3, feedback=True), "score")
 
 
+# every user of the events as a seed, with the operators' defaults
+_WALK_ALL = f"WITH {_BOTH}{_ppr_sql('b', seeds=_ALL_USERS)}{_ppr_ranked(100)}"
+
+
+@query("neighbors_of_all_users", f"WITH {_BOTH} SELECT DISTINCT src AS id, dst AS neighbour FROM b WHERE src IN (SELECT id FROM {_ALL_USERS})")
+def neighbors_of_all_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return storage.neighbours(_both(spark, sf_dir), _all_users(spark, sf_dir))
+
+
+@query("ppr_exact_all_users", f"{_WALK_ALL} SELECT seed, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM kept")
+def ppr_exact_all_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(ranking.pagerank(_both(spark, sf_dir), _all_users(spark, sf_dir)), "score")
+
+
+@query("ppr_visits_all_users", f"WITH {_FOLLOWS}{_ppr_sql('e', seeds=_ALL_USERS)} SELECT seed, id, round(visits, 6) AS visits FROM visits")
+def ppr_visits_all_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(ranking.expected_visits(storage.stored_edges(sources.follows(spark, sf_dir)), _all_users(spark, sf_dir)), "visits")
+
+
+@query("ppr_monte_carlo_all_users", _walk_sql(_ALL_USERS.replace(" x(id)", " s(id)"), 1_000, ranking.WALK_LENGTH))
+def ppr_monte_carlo_all_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.simulated_visits(_both(spark, sf_dir), _all_users(spark, sf_dir))
+
+
+@query("circle_of_trust_all_users", f"{_WALK_ALL} SELECT seed, id FROM kept")
+def circle_of_trust_all_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.circle_of_trust(_both(spark, sf_dir), _all_users(spark, sf_dir))
+
+
+@query("salsa_all_users", _WALK_ALL + _LINKS + _salsa_end("a1"))
+def salsa_all_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(ranking.salsa(_both(spark, sf_dir), _all_users(spark, sf_dir)), "score")
+
+
+@query("salsa_feedback_all_users", _feedback_sql(5, _WALK_ALL + _LINKS))
+def salsa_feedback_all_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(ranking.salsa(_both(spark, sf_dir), _all_users(spark, sf_dir), feedback=True), "score")
+
+
 # ---------------------------------------------------------------- embeddings
 
 _PAIRS = _E + ", w AS (SELECT src AS \"user\", dst AS item, sum(weight) AS weight FROM e GROUP BY 1, 2)"
