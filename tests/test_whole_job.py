@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,3 +21,12 @@ def test_every_user_is_a_seed(spark, name):
     users = {f"user:{r[0]}" for r in load(spark, SF, "events").where("user_id IS NOT NULL").select("user_id").distinct().collect()}
     column = "id" if name.startswith("neighbors") else "seed"
     assert {r[0] for r in of(spark, name).select(column).distinct().collect()} == users
+
+
+def test_a_failing_import_is_not_swallowed(monkeypatch):
+    import graphloom.llm
+
+    monkeypatch.delattr(graphloom.llm, "queries", raising=False)
+    monkeypatch.setitem(sys.modules, "graphloom.llm.queries", None)
+    with pytest.raises(ImportError):
+        entry_points.queries()
