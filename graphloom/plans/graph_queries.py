@@ -424,15 +424,15 @@ def adj_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(lightgcn.normalized_adjacency(_pairs(spark, sf_dir)), "w")
 
 
-def _e0(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _e0(spark: SparkSession, sf_dir: str, dim: int = DIM) -> DataFrame:
     """Embeddings that depend on the vertex's name alone."""
-    d = F.explode(F.sequence(F.lit(0), F.lit(DIM - 1)))
+    d = F.explode(F.sequence(F.lit(0), F.lit(dim - 1)))
     named = storage.vertices(_log(spark, sf_dir)).select("id", d.alias("d"))
     return named.withColumn("x", draw(F.col("id"), F.col("d")) / float(2**32) - 0.5)
 
 
-def _propagate_sql(layers: int) -> str:
-    sql = f"""WITH {_ADJ}, {_V}, t0 AS MATERIALIZED (SELECT id, d, ('0x' || substr(md5(id || '|' || d), 1, 8))::BIGINT / 4294967296.0 - 0.5 AS x FROM v, range(0, {DIM}) r(d))"""
+def _propagate_sql(layers: int, dim: int = DIM) -> str:
+    sql = f"""WITH {_ADJ}, {_V}, t0 AS MATERIALIZED (SELECT id, d, ('0x' || substr(md5(id || '|' || d), 1, 8))::BIGINT / 4294967296.0 - 0.5 AS x FROM v, range(0, {dim}) r(d))"""
     for k in range(1, layers + 1):
         sql += f", t{k} AS MATERIALIZED (SELECT adj.row AS id, d, sum(w * x) AS x FROM adj JOIN t{k - 1} ON id = col GROUP BY 1, 2)"
     every = " UNION ALL ".join(f"SELECT id, d, x FROM t{k}" for k in range(layers + 1))
@@ -446,6 +446,16 @@ for _name, _layers in (("propagate_1", 1), ("propagate_k", LAYERS)):
         _propagate_sql(_layers),
     )
 
+DEFAULTS = training.TrainingOptions()
+
+
+@query("propagate_defaults", _propagate_sql(DEFAULTS.layers, DEFAULTS.embedding_dim))
+def propagate_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Propagation with the layers and dimensions of a model trained with the defaults."""
+    start = _e0(spark, sf_dir, DEFAULTS.embedding_dim)
+    return _rounded(lightgcn.propagate(start, lightgcn.normalized_adjacency(_pairs(spark, sf_dir)), DEFAULTS.layers), "x")
+
+
 _VECTORS = """u AS (SELECT 'user:' || vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings WHERE label < 5),
 i AS (SELECT 'item:' || vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings WHERE label >= 5),
 s AS (SELECT u.id AS "user", i.id AS item, round(list_dot_product(u.v, i.v), 6) AS score FROM u, i)"""

@@ -30,3 +30,14 @@ def test_a_failing_import_is_not_swallowed(monkeypatch):
     monkeypatch.setitem(sys.modules, "graphloom.llm.queries", None)
     with pytest.raises(ImportError):
         entry_points.queries()
+
+
+def test_propagation_has_the_default_dimensions(spark):
+    assert of(spark, "propagate_defaults").select("d").distinct().count() == 64
+
+
+def test_walks_and_circles_have_the_default_sizes(spark):
+    visits = of(spark, "ppr_monte_carlo_all_users").groupBy("seed").agg(F.sum("visits").alias("n"))
+    assert {r["n"] for r in visits.collect()} == {10_000.0}
+    circle = of(spark, "circle_of_trust_all_users").groupBy("seed").count()
+    assert circle.agg(F.max("count")).first()[0] == 100
