@@ -17,6 +17,8 @@ from graphloom.operators.lightgcn import EmptyGraph, weighted_pairs
 
 # The usual constants of Adam and of the logarithm's guard.
 BETA_1, BETA_2, EPSILON, LOG_GUARD = 0.9, 0.999, 1e-8, 1e-10
+#: Entries of the adjacency multiplied at once, so that their products stay in the processor's cache.
+BLOCK_ENTRIES = 2_000
 
 
 @dataclass(frozen=True)
@@ -28,6 +30,8 @@ class TrainingOptions:
     learning_rate: float = 0.001
     regularization: float = 1e-4
     seed: int = 42
+    #: More epochs are run where fewer draws than this many times the pairs would be made.
+    draws_per_pair: float = 0.0
 
     def __post_init__(self) -> None:
         for name in ("embedding_dim", "epochs", "batch_size"):
@@ -52,7 +56,13 @@ class SparseMatrix:
 
     def __matmul__(self, dense: np.ndarray) -> np.ndarray:
         out = np.zeros_like(dense)
-        out[self.filled] = np.add.reduceat(dense[self.cols] * self.w[:, None], self.starts, axis=0)
+        ends = np.append(self.starts[1:], len(self.cols))
+        lo = 0
+        while lo < len(self.filled):
+            hi = max(lo + 1, int(np.searchsorted(ends, self.starts[lo] + BLOCK_ENTRIES, side="right")))
+            a, b = self.starts[lo], ends[hi - 1]
+            out[self.filled[lo:hi]] = np.add.reduceat(dense[self.cols[a:b]] * self.w[a:b, None], self.starts[lo:hi] - a, axis=0)
+            lo = hi
         return out
 
     def propagate(self, dense: np.ndarray, layers: int) -> np.ndarray:
@@ -91,7 +101,8 @@ def train_arrays(users: np.ndarray, items: np.ndarray, weights: np.ndarray, n_us
     e0 = rng.uniform(-bound, bound, (n, o.embedding_dim))
     first, second = np.zeros_like(e0), np.zeros_like(e0)
     size, losses = min(o.batch_size, len(users)), []
-    for step in range(1, o.epochs + 1):
+    epochs = max(o.epochs, int(np.ceil(o.draws_per_pair * len(users) / size)))
+    for step in range(1, epochs + 1):
         pick = rng.integers(0, len(users), size)
         other = rng.integers(0, n_items, size) + n_users
         loss, g = loss_and_gradient(e0, adjacency, o.layers, users[pick], items[pick] + n_users, other, o.regularization)

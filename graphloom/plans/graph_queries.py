@@ -487,7 +487,8 @@ def embed_topk_exclude_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lightgcn.score_top_k(*_sides(spark, sf_dir), 20, seen)
 
 
-TRAINING = training.TrainingOptions(embedding_dim=16, layers=2, epochs=60, batch_size=256, learning_rate=0.02)
+#: The defaults, and more steps where 1,024,000 draws would be fewer than five a pair.
+TRAINING = training.TrainingOptions(draws_per_pair=5)
 
 
 @query("lightgcn_train")

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import sys
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
+from graphloom.operators import training
+from graphloom.plans import graph_queries
 from graphloom.runtime import load
 from tests.conftest import SF
 
@@ -41,3 +44,13 @@ def test_walks_and_circles_have_the_default_sizes(spark):
     assert {r["n"] for r in visits.collect()} == {10_000.0}
     circle = of(spark, "circle_of_trust_all_users").groupBy("seed").count()
     assert circle.agg(F.max("count")).first()[0] == 100
+
+
+def test_training_covers_the_pairs():
+    default, used = training.TrainingOptions(), graph_queries.TRAINING
+    for name in ("embedding_dim", "layers", "epochs", "batch_size", "learning_rate", "regularization"):
+        assert getattr(used, name) == getattr(default, name)
+    options = training.TrainingOptions(embedding_dim=4, layers=1, epochs=1, batch_size=4, draws_per_pair=5)
+    at = np.arange(10)
+    assert len(training.train_arrays(at, at, np.ones(10), 10, 10, options)[1]) == 13
+    assert len(training.train_arrays(at, at, np.ones(10), 10, 10, training.TrainingOptions(epochs=3))[1]) == 3
