@@ -72,8 +72,14 @@ def exact_sum(value: Column) -> Column:
     return F.sum(F.when(fit, F.round(v.cast("decimal(27,6)"), 6)))
 
 
+def left_out(value: Column) -> Column:
+    """The number of infinite values and of those of 1e20 and more in size, which ``exact_sum`` leaves out."""
+    v = value.cast("double")
+    return F.count(F.when(~F.isnan(v) & (F.abs(v) >= F.lit(1e20)), 1))
+
+
 def per_key_stats(
-    df: DataFrame, key: str, member: str, value: str, share: float = 0.001, salts: int = 64
+    df: DataFrame, key: str, member: str, value: str, share: float = 0.001, salts: int = 64, tell_left_out: bool = False
 ) -> DataFrame:
     """Rows, distinct members and total value of every non-null key, without a task per heavy key.
 
@@ -84,25 +90,27 @@ def per_key_stats(
     Result: ``key``, ``rows BIGINT``, ``members BIGINT`` (distinct, nulls not counted), ``total`` DOUBLE, the sum of
     the usable values as ``exact_sum`` takes them (null if there is none). Rows with a null key are left out,
     repeated rows count as often as they occur; an empty table gives an empty result. Other columns are ignored.
+    With ``tell_left_out`` also ``left_out BIGINT``, the values too large for ``total`` (see ``left_out``).
     """
     rows = df.select(F.col(key).alias("k"), F.col(member).alias("m"), F.col(value).alias("v"))
     heavy = heavy_keys(rows, "k", share)
     hot, cold = split_by_keys(rows.where(F.col("k").isNotNull()), heavy, ["k"])
     # per (key, member): counts combine before the shuffle and no group is larger than one member's rows
-    pair = [F.count(F.lit(1)).alias("n"), exact_sum(F.col("v")).alias("t")]
+    pair = [F.count(F.lit(1)).alias("n"), exact_sum(F.col("v")).alias("t"), left_out(F.col("v")).alias("x")]
     salt = F.pmod(F.xxhash64("m"), F.lit(salts))
     hot_parts = (
         hot.groupBy("k", "m").agg(*pair)
         .groupBy("k", salt.alias("salt"))
-        .agg(F.sum("n").alias("n"), F.count("m").alias("members"), F.sum("t").alias("t"))
+        .agg(F.sum("n").alias("n"), F.count("m").alias("members"), F.sum("t").alias("t"), F.sum("x").alias("x"))
         .groupBy("k")
-        .agg(F.sum("n").alias("n"), F.sum("members").alias("members"), F.sum("t").alias("t"))
+        .agg(F.sum("n").alias("n"), F.sum("members").alias("members"), F.sum("t").alias("t"), F.sum("x").alias("x"))
     )
     cold_parts = (
         cold.groupBy("k", "m").agg(*pair)
         .groupBy("k")
-        .agg(F.sum("n").alias("n"), F.count("m").alias("members"), F.sum("t").alias("t"))
+        .agg(F.sum("n").alias("n"), F.count("m").alias("members"), F.sum("t").alias("t"), F.sum("x").alias("x"))
     )
+    more = [F.col("x").alias("left_out")] if tell_left_out else []
     return hot_parts.unionByName(cold_parts).select(
-        F.col("k").alias(key), F.col("n").alias("rows"), "members", F.col("t").cast("double").alias("total")
+        F.col("k").alias(key), F.col("n").alias("rows"), "members", F.col("t").cast("double").alias("total"), *more
     )

@@ -186,6 +186,12 @@ def p5_item_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnsRenamed({"members": "users", "total": "total_weight"})
 
 
+@query("p5_left_out", "SELECT item_idx, count(*) FILTER (NOT isnan(weight) AND abs(weight) >= 1e20) AS left_out FROM interactions WHERE item_idx IS NOT NULL GROUP BY 1")
+def p5_left_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weights that ``p5_item_stats`` leaves out of each item's total."""
+    return skew.per_key_stats(load(spark, sf_dir, "interactions"), "item_idx", "user_idx", "weight", tell_left_out=True).select("item_idx", "left_out")
+
+
 # ---------------------------------------------------------------- problem 6
 
 _P6_SESSIONS = f"""

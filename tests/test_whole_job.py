@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
-from graphloom.operators import training
+from graphloom.operators import skew, training
 from graphloom.plans import graph_queries
 from graphloom.runtime import load
 from tests.conftest import SF
@@ -54,3 +54,11 @@ def test_training_covers_the_pairs():
     at = np.arange(10)
     assert len(training.train_arrays(at, at, np.ones(10), 10, 10, options)[1]) == 13
     assert len(training.train_arrays(at, at, np.ones(10), 10, 10, training.TrainingOptions(epochs=3))[1]) == 3
+
+
+def test_values_left_out_are_told(spark):
+    data = [(1, 1, 2.0), (1, 2, 1e20), (1, 3, float("-inf")), (1, 4, None), (2, 1, float("nan")), (2, 1, 3.0)]
+    df = spark.createDataFrame(data, "k int, m int, v double")
+    for share in (0.5, 1.0):
+        got = skew.per_key_stats(df, "k", "m", "v", share=share, tell_left_out=True)
+        assert {r["k"]: (r["total"], r["left_out"]) for r in got.collect()} == {1: (2.0, 2), 2: (3.0, 0)}
