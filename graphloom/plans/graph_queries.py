@@ -549,6 +549,20 @@ def random_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(evaluation.random_baseline(train, evaluation.truth(test, train), 20), "baseline")
 
 
+@query("eval_lightgcn")
+def eval_lightgcn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings trained on the training pairs, judged by the held-out ones beside a ranking by chance; ``uplift`` is recall / baseline."""
+    edges = _edges(spark, sf_dir)
+    train, test = evaluation.split(edges.select(F.col("src").alias("user"), F.col("dst").alias("item")))
+    kept = materialize(edges.join(train.select(F.col("user").alias("src"), F.col("item").alias("dst")), ["src", "dst"], "left_semi"), "train-edges")
+    model = materialize(training.train(kept, storage.vertices(kept), "user:", TRAINING), "model")
+    users, items = (model.where(F.col("side") == side).select("id", "v") for side in ("user", "item"))
+    relevant = evaluation.truth(test, train)
+    found = evaluation.mean_metrics(evaluation.per_user_metrics(lightgcn.score_top_k(users, items, 20, train), relevant, 20))
+    both = found.crossJoin(evaluation.random_baseline(train, relevant, 20))  # one row each
+    return _rounded(both.withColumn("uplift", F.try_divide("recall", "baseline")), "recall", "precision", "ndcg", "baseline", "uplift")
+
+
 @query("sample_users", f"""WITH {_E}, u AS (SELECT DISTINCT src AS "user" FROM e) SELECT "user" FROM u ORDER BY ('0x' || substr(md5('42|' || "user"), 1, 8))::BIGINT, "user" LIMIT 50""")
 def sample_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.sample_users(_edges(spark, sf_dir).select(F.col("src").alias("user")), 50)

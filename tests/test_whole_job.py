@@ -62,3 +62,11 @@ def test_values_left_out_are_told(spark):
     for share in (0.5, 1.0):
         got = skew.per_key_stats(df, "k", "m", "v", share=share, tell_left_out=True)
         assert {r["k"]: (r["total"], r["left_out"]) for r in got.collect()} == {1: (2.0, 2), 2: (3.0, 0)}
+
+
+def test_trained_embeddings_are_evaluated(spark):
+    got = of(spark, "eval_lightgcn").collect()
+    assert len(got) == 1
+    assert got[0]["users"] == of(spark, "eval_metrics").first()["users"]
+    assert got[0]["baseline"] == of(spark, "random_baseline").first()["baseline"] > 0
+    assert 0 < got[0]["recall"] <= 1 and abs(got[0]["uplift"] - got[0]["recall"] / got[0]["baseline"]) < 1e-4
