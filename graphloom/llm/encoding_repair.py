@@ -283,15 +283,15 @@ def _looks_clean(word: str, cost: float) -> bool:
     return cost <= sum(_kind(c)[2] for c in word) + 1e-9 and not any("\x80" <= c <= "\x9f" or "\u3400" <= c < "\ud7b0" for c in word)
 
 
-def candidates(word: str, depth: int = 0) -> tuple[Repair, ...]:
-    """The acceptable readings of a word, best first."""
+def candidates(word: str, depth: int = 0, others: bool = True) -> tuple[Repair, ...]:
+    """The acceptable readings of a word, best first. Without ``others`` only text that was UTF-8 is looked for."""
     cost = garbling_cost(word)
     if _looks_clean(word, cost):
         return ()
     wide = any(c >= "\u2e80" for c in word)
     found: dict[str, Repair] = {}
     tried = [([(x, "utf-8") for x in UTF8_READ_AS], UTF8_DROP), (OTHER_PAIRS, OTHER_DROP)]
-    for pairs, least in tried[: 1 if depth else 2]:  # only text that was UTF-8 nests
+    for pairs, least in tried[: 2 if others else 1]:
         for read_as, written_in in pairs:
             if read_as in MULTI_BYTE and not wide:
                 continue
@@ -300,7 +300,10 @@ def candidates(word: str, depth: int = 0) -> tuple[Repair, ...]:
                 continue
             drop = cost - garbling_cost(text)
             layers = ((read_as, written_in),)
-            if depth < MAX_LAYERS and written_in == "utf-8" and (deeper := candidates(text, depth + 1)):
+            # two swaps of single bytes are as good as one, and a layer that isn't enough by itself proves nothing: only UTF-8 is tried below
+            utf8, enough = written_in == "utf-8", drop >= least
+            nests = utf8 or (enough and not found)
+            if depth < MAX_LAYERS and nests and (deeper := candidates(text, depth + 1, others and utf8 and enough)):
                 layers, text, drop = layers + deeper[0].layers, deeper[0].text, drop + deeper[0].drop
             if drop >= least and (text not in found or found[text].drop < drop - 1e-9):
                 found[text] = Repair(layers, text, drop)
