@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import sys
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
-from graphloom.llm import encoding_repair
 from graphloom.operators import skew, training
 from graphloom.plans import graph_queries
 from graphloom.runtime import load
@@ -27,15 +24,6 @@ def test_every_user_is_a_seed(spark, name):
     assert {r[0] for r in of(spark, name).select(column).distinct().collect()} == users
 
 
-def test_a_failing_import_is_not_swallowed(monkeypatch):
-    import graphloom.llm
-
-    monkeypatch.delattr(graphloom.llm, "queries", raising=False)
-    monkeypatch.setitem(sys.modules, "graphloom.llm.queries", None)
-    with pytest.raises(ImportError):
-        entry_points.queries()
-
-
 def test_propagation_has_the_default_dimensions(spark):
     assert of(spark, "propagate_defaults").select("d").distinct().count() == 64
 
@@ -71,9 +59,3 @@ def test_trained_embeddings_are_evaluated(spark):
     assert got[0]["users"] == of(spark, "eval_metrics").first()["users"]
     assert got[0]["baseline"] == of(spark, "random_baseline").first()["baseline"] > 0
     assert 0 < got[0]["recall"] <= 1 and abs(got[0]["uplift"] - got[0]["recall"] / got[0]["baseline"]) < 1e-4
-
-
-@pytest.mark.parametrize("word", ["Привет", "Сообщение"])
-def test_another_mistake_below_utf8_is_restored(word):
-    garbled = word.encode("koi8-r").decode("cp1251").encode("utf-8").decode("latin-1")
-    assert encoding_repair.Repairer().repair(garbled)[:2] == (word, "latin-1>utf-8 cp1251>koi8-r")
