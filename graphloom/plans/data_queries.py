@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.operators import references as refs
 from graphloom.operators import sessions, skew
 from graphloom.plans.registry import Registry
-from graphloom.runtime import load
+from graphloom.runtime import load, scratch
 from graphloom.sources import strict_load
 
 REGISTRY = Registry()
@@ -44,7 +44,7 @@ WITH rec AS (
 
 @query("p2_found", _P2_RECORDS + "SELECT line_id FROM judged WHERE NOT valid")
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return strict_load.rejects(load(spark, sf_dir, "interactions_raw")).select("line_id")
+    return strict_load.rejected_offsets(load(spark, sf_dir, "interactions_raw"))
 
 
 @query(
@@ -158,12 +158,14 @@ SELECT n.space, n.key::BIGINT AS key, n.refs FROM n
 WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.space = n.space AND t.key = n.key AND t.died IS NULL)""",
 )
 def p3_current(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The orphan keys after all changes, with the ledger brought forward in two batches of deltas."""
+    """The orphan keys after all changes, with the ledger brought forward in two batches of deltas, before and from 2024 on."""
     pointing, targets = reference_tables(spark, sf_dir)
-    cut = 1_704_067_200_000_000  # 2024-01-01
-    state = refs.apply_deltas(None, refs.change_deltas(pointing, targets, until_us=cut))
-    state = refs.apply_deltas(state, refs.change_deltas(pointing, targets, after_us=cut))
-    return refs.current_orphans(state)
+    ledger = refs.Ledger(spark, scratch(spark, "ledger"))
+    changes = (refs.reference_deltas(pointing), refs.existence_deltas(refs.united(targets)))
+    later = F.coalesce(F.col("at_us") >= 1_704_067_200_000_000, F.lit(False))
+    for batch, part in enumerate((~later, later)):
+        ledger.apply(batch, *[deltas.where(part) for deltas in changes])
+    return ledger.current_orphans()
 
 
 # ---------------------------------------------------------------- problem 5

@@ -92,14 +92,14 @@ def brute_orphans(data, targets):
     return out
 
 
-@pytest.mark.parametrize("hot_share", [0.001, 0.2, 1.0])
-def test_orphans_match_brute_force(spark, hot_share):
+@pytest.mark.parametrize("salt_rows", [5, 60, 1_000])
+def test_orphans_match_brute_force(spark, salt_rows):
     rng = random.Random(5)
     some = lambda p, hi: None if rng.random() < p else rng.randrange(hi)
     targets = [(k, some(0.3, 50), some(0.6, 100)) for k in range(20) if k % 4] * 2
     data = [(3 if rng.random() < 0.3 else some(0.1, 25), some(0.1, 120)) for _ in range(400)]
     pointing, tables = make_refs(spark, data, targets)
-    assert rows(refs.orphan_rows(pointing, tables, hot_share), "row_id") == [(i,) for i in brute_orphans(data, targets)]
+    assert rows(refs.orphan_rows(pointing, tables, salt_rows), "row_id") == [(i,) for i in brute_orphans(data, targets)]
 
 
 def test_orphan_boundaries_and_empty_tables(spark):
@@ -114,19 +114,27 @@ def test_orphan_boundaries_and_empty_tables(spark):
     assert refs.orphan_rows(nothing, tables).count() == 0
 
 
-def test_ledger_in_batches_equals_at_once(spark):
+def test_ledger_in_batches_equals_at_once(spark, tmp_path):
+    """Three stored batches, the second applied twice, hold what one batch holds; rows that are withdrawn leave it."""
     rng = random.Random(6)
-    data = [(rng.randrange(12), rng.randrange(100)) for _ in range(200)]
-    targets = [(k, rng.randrange(60), rng.choice([None, 80])) for k in range(8)]
+    minutes = 60 * 24 * 90
+    data = [(rng.choice([None, *range(12)]), rng.choice([None, rng.randrange(minutes)])) for _ in range(300)]
+    targets = [(k, rng.choice([None, rng.randrange(minutes)]), rng.choice([None, rng.randrange(minutes)])) for k in range(8)]
     pointing, tables = make_refs(spark, data, targets)
-    whole = refs.apply_deltas(None, refs.change_deltas(pointing, tables))
-    state, last = None, None
-    for cut in (us(20), us(50), us(1000)):
-        state = refs.apply_deltas(state, refs.change_deltas(pointing, tables, until_us=cut, after_us=last))
-        last = cut
-    assert rows(state) == rows(whole)
-    gone = {k for k, _ in data} - {k for k, _, d in targets if d is None}
-    assert {r["key"] for r in refs.current_orphans(state).collect()} == gone
+    r, e = refs.reference_deltas(pointing), refs.existence_deltas(refs.united(tables))
+    whole = refs.Ledger(spark, f"file://{tmp_path}/whole").apply(0, r, e)
+    stored = refs.Ledger(spark, f"file://{tmp_path}/batches")
+    low, high = us(minutes // 3), us(minutes // 2)
+    parts = [lambda d: d.where(F.col("at_us").isNull() | (F.col("at_us") < low)), lambda d: d.where(F.col("at_us").between(low, high)), lambda d: d.where(F.col("at_us") > high)]
+    for batch in (0, 1, 1, 2):
+        stored.apply(batch, parts[batch](r), parts[batch](e))
+    assert rows(stored.rows()) == rows(whole.rows())
+    assert rows(stored.current_orphans()) == rows(whole.current_orphans())
+    assert rows(refs.orphan_rows(pointing, tables, 20, stored), "row_id") == [(i,) for i in brute_orphans(data, targets)]
+    gone = {k for k, _ in data if k is not None} - {k for k, b, d in targets if d is None}
+    assert {x["key"] for x in stored.current_orphans().collect()} == gone
+    stored.apply(3, refs.reference_deltas(pointing, -1))
+    assert stored.current_orphans().count() == 0 and refs.orphan_stretches(stored.rows()).count() == 0
 
 
 # -- heavy keys
