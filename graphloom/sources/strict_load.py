@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.runtime import materialize
+
 FIELDS = ("user_idx", "item_idx", "weight", "inserted_at")
 
 INT = r"-?[0-9]+"
@@ -28,15 +30,20 @@ FIELD = r'(?:"(?:[^"]|"")*+"|[^\t"]*+)'
 
 def records(raw: DataFrame) -> DataFrame:
     """The records among the raw lines, with their offsets: ``line_id``, ``batch``, ``line_no``, ``line``."""
-    line = F.regexp_replace("raw_line", r"[ \t\r]+\z", "")
-    return raw.select("line_id", "batch", "line_no", line.alias("line")).where(
-        (F.length("line") > 0) & ~F.col("line_no").eqNullSafe(1)
-    )
+    told = raw.where(~F.col("line_no").eqNullSafe(1)).select("line_id", "batch", "line_no", "raw_line")
+    trimmed = F.rtrim("raw_line", F.lit(" \t\r"))
+    return _once(told, line=trimmed).where(F.length("line") > 0).select("line_id", "batch", "line_no", "line")
+
+
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with ``columns``, each computed once per row: later filters and columns read them instead of repeating them."""
+    made = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select("*", F.inline(F.array(made)))
 
 
-def _value(pattern: str, k: int) -> Column:
-    """Field ``k`` of a conforming line without its quotes, or null if the line doesn't conform."""
-    return F.when(F.col("conforms"), F.regexp_replace(F.element_at("parts", k), '^"|"$', ""))
+def _value(k: int) -> Column:
+    """Field ``k`` of a conforming line without its quotes."""
+    return F.replace(F.element_at("parts", k), F.lit('"'), F.lit(""))
 
 
 def _int32(text: Column) -> Column:
@@ -68,15 +75,24 @@ def strict_load(raw: DataFrame) -> DataFrame:
     """
     quoted = lambda p: f'(?:"{p}"|{p})'
     whole = r"\A" + r"\t".join(quoted(p) for p in (INT, INT, NUMBER, TIME)) + r"\z"
-    parts = records(raw).withColumn("conforms", F.col("line").rlike(whole)).where("conforms").withColumn("parts", F.split("line", "\t"))
-    user, item = _int32(_value(INT, 1)), _int32(_value(INT, 2))
-    weight = _value(NUMBER, 3).try_cast("double")
-    typed = parts.select(
-        "line_id", "batch", "line_no", user.alias("user_idx"), item.alias("item_idx"), weight.alias("weight"),
-        _time(_value(TIME, 4)).alias("inserted_at"),
+    # a line that conforms holds tabs between its fields and quotes around them only
+    parts = _once(records(raw).where(F.col("line").rlike(whole)).select("line_id", "batch", "line_no", "line"), parts=F.split("line", "\t"))
+    bare = _once(parts, user=_value(1), item=_value(2), number=_value(3), time=_value(4))
+    typed = _once(
+        bare, user_idx=_int32(F.col("user")), item_idx=_int32(F.col("item")), weight=F.col("number").try_cast("double"), inserted_at=_time(F.col("time"))
     )
     finite = F.abs("weight") < F.lit(float("inf"))
-    return typed.where(F.col("user_idx").isNotNull() & F.col("item_idx").isNotNull() & finite & F.col("inserted_at").isNotNull())
+    return typed.where(
+        F.col("user_idx").isNotNull() & F.col("item_idx").isNotNull() & finite & F.col("inserted_at").isNotNull()
+    ).select("line_id", "batch", "line_no", "user_idx", "item_idx", "weight", "inserted_at")
+
+
+def rejected_offsets(raw: DataFrame) -> DataFrame:
+    """The offsets (``line_id``) of the records that weren't loaded: all records' less those of ``strict_load``.
+
+    Only offsets are shuffled.
+    """
+    return records(raw).select("line_id").join(strict_load(raw).select("line_id"), "line_id", "left_anti")
 
 
 def rejects(raw: DataFrame) -> DataFrame:
@@ -84,14 +100,16 @@ def rejects(raw: DataFrame) -> DataFrame:
 
     ``line_id``, ``batch``, ``line_no``, ``raw_line``, ``reason``: ``quoting`` (a quote inside a field, or one left
     open), ``columns`` (not four fields), ``user_idx``, ``item_idx``, ``weight`` or ``inserted_at`` (that value has
-    the wrong form, is out of range or names no existing time). Taken as the anti-join of all records with the
-    offsets of ``strict_load``.
+    the wrong form, is out of range or names no existing time). They are the records at ``rejected_offsets``; their
+    lines are fetched for these alone.
     """
-    left = records(raw).join(strict_load(raw).select("line_id"), "line_id", "left_anti")
+    # written once: a small remainder then meets the lines by broadcast, and only a large one makes them move
+    rejected = materialize(rejected_offsets(raw), "rejected-offsets")
+    left = records(raw).join(rejected, "line_id", "left_semi")
     well_quoted = F.col("line").rlike(rf"\A{FIELD}(?:\t{FIELD})*+\z")
     fields = F.when(well_quoted, F.regexp_extract_all("line", F.lit(rf"(?:\A|(?<=\t))({FIELD})(?=\t|\z)"), 1))
     bare = F.transform(fields, lambda f: F.when(f.startswith('"'), F.replace(f.substr(F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))).otherwise(f))
-    split = left.withColumn("fields", bare)
+    split = _once(left, fields=bare)
     at = lambda k: F.element_at("fields", k)
     is_form = lambda k, p: at(k).rlike(rf"\A{p}\z")
     reason = (
