@@ -8,6 +8,8 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,6 +111,31 @@ def test_index_recall_and_queries(spark):
     assert similar_vectors.most_similar(df.limit(0), "x", "e", 8).count() == 0
 
 
+def test_recall_holds_for_vectors_without_structure(spark, tmp_path):
+    """60,000 vectors evenly spread in 32 dimensions, the hardest case: files are far longer than what is reranked at least."""
+    n, every = 60_000, 600
+    vectors = np.random.default_rng(7).standard_normal((n, 32)).astype(np.float32)
+    pq.write_table(pa.table({"x": np.arange(n), "e": pa.array(list(vectors), pa.list_(pa.float32()))}), tmp_path / "v.parquet", row_group_size=10_000)
+    df = spark.read.parquet(f"file://{tmp_path}/v.parquet")
+    asking = df.where(F.col("x") % every == 0).select(F.col("x").alias("item"))
+    found = set(rows(similar_vectors.most_similar(df, "x", "e", 32, 5, asking), "item_a", "item_b"))
+    unit = vectors.astype(float) / np.linalg.norm(vectors, axis=1, keepdims=True)
+    true = {(a, int(b)) for a in range(0, n, every) for b in np.argsort(-(unit @ unit[a]))[1:6]}
+    assert len(true & found) >= 0.9 * len(true)
+
+
+def test_copies_of_a_vector_and_string_ids(spark):
+    """A third of the rows are one vector: every member has the lowest other members as neighbours, and answers by the lowest."""
+    data = [(f"i{k:03d}", [1.0, 0.0] if k % 3 == 0 else [float(k), float(k * k % 7 + 1)]) for k in range(60)]
+    df = spark.createDataFrame(data, "x string, e array<float>")
+    got = defaultdict(list)
+    for r in similar_vectors.most_similar(df, "x", "e", 2, 5).orderBy("item_a", "rank").collect():
+        got[r["item_a"]].append(r["item_b"])
+    copies = [x for x, v in data if v == [1.0, 0.0]]
+    assert all(got[x] == [c for c in copies if c != x][:5] for x in copies)
+    assert dict(got) == brute_neighbours(data, 2, 5)
+
+
 # -- sizes and prefix sums
 
 
@@ -121,17 +148,19 @@ def test_token_counts(spark):
     assert encode.decode(encode.encode_ordinary(text)) == text
 
 
-@pytest.mark.parametrize("buckets", [1, 2, 64])
-def test_running_total(spark, buckets):
+@pytest.mark.parametrize("bucket_rows", [1, 7, 100_000])
+def test_running_total(spark, bucket_rows):
     df = spark.range(200).select("id", (F.col("id") % 3).alias("g"), F.xxhash64("id").alias("h"), (F.col("id") % 7 + 1).alias("a"))
-    got = rows(prefix.running_total(df, ["g"], "h", ["id"], "a", "s", buckets), "g", "s", "a")
+    got = rows(prefix.running_total(df, ["g"], "h", ["id"], "a", "s", bucket_rows), "g", "s", "a")
     for g in range(3):
         at = 0
         for _, s, a in sorted(r for r in got if r[0] == g):
             assert s == at
             at += a
-    with pytest.raises(ValueError):
-        prefix.bucket_of(F.lit(1), 3)
+    whole = rows(prefix.running_total(df, [], "h", ["id"], "a", "s", bucket_rows), "s", "a")
+    assert [s for s, _ in whole] == [sum(a for _, a in whole[:k]) for k in range(200)]
+    bits = spark.createDataFrame([(1,), (100_000,), (100_001,), (10**12,)], "n bigint").select(prefix.bucket_bits(F.col("n")))
+    assert [r[0] for r in bits.collect()] == [0, 0, 1, 16]
 
 
 # -- packing
