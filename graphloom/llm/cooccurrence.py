@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.runtime import materialize
+
 #: Items of a basket that one task pairs with each other at once.
 BLOCK_ITEMS = 256
+#: Baskets of at least this many items, and of at least 1 / MOST_GIANT of all, are told to their items by broadcast.
+GIANT_ITEMS, MOST_GIANT = 100_000, 10_000
 
 
 def basket_items(df: DataFrame, basket: list[Column], item: str) -> DataFrame:
@@ -16,55 +20,65 @@ def basket_items(df: DataFrame, basket: list[Column], item: str) -> DataFrame:
     return rows.dropna().distinct()
 
 
-def pair_counts(items: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """Baskets that hold both items of a pair: ``item_a`` < ``item_b``, ``n_both BIGINT``.
+def basket_sizes(items: DataFrame) -> DataFrame:
+    """The number of items of each basket, ``size``, combined before the shuffle."""
+    return items.groupBy(*[c for c in items.columns if c != "item"]).agg(F.count(F.lit(1)).alias("size"))
+
 
-    ``items`` has distinct (basket, item) rows. A basket's items, in order, emit each pair once; the counts combine
-    before the shuffle. A basket of more than ``block_items`` items is cut into blocks by a hash of the item, and each
-    pair of blocks becomes a group of its own that any task may take, so no task holds a large basket and no pair is
-    lost.
+def _in_blocks(items: DataFrame, large: DataFrame, block_items: int, giant: int) -> DataFrame:
+    """``items`` with ``blocks``, the number of blocks their basket is cut into: 1 unless it is in ``large``.
+
+    Giant baskets, of which there are at most MOST_GIANT, meet their items by broadcast, so these stay where they are;
+    the other large ones do so in an ordinary join.
     """
     keys = [c for c in items.columns if c != "item"]
-    size = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    sized = items.repartition(*keys).withColumn("size", size)
+    blocks = F.ceil(F.col("size") * 2 / F.lit(block_items)).cast("int").alias("blocks")
+    giants = large.where(F.col("size") >= giant).select(*keys, blocks)
+    others = large.where(F.col("size") < giant).select(*keys, blocks)
+    met = items.join(F.broadcast(giants), keys)
+    rest = items.join(F.broadcast(giants.select(*keys)), keys, "left_anti").join(others, keys, "left")
+    return met.unionByName(rest).withColumn("blocks", F.coalesce("blocks", F.lit(1)))
 
-    small = sized.where((F.col("size") <= block_items) & (F.col("size") > 1))
-    in_order = small.groupBy(*keys).agg(F.sort_array(F.collect_list("item")).alias("items"))
-    left = in_order.select("items", F.posexplode("items").alias("at", "item_a"))
-    small_pairs = left.select("item_a", F.explode(F.slice("items", F.col("at") + 2, F.size("items"))).alias("item_b"))
 
-    blocks = F.ceil(F.col("size") * 2 / F.lit(block_items)).cast("int")
-    cut = sized.where(F.col("size") > block_items).withColumn("blocks", blocks).withColumn(
-        "block", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int")
-    )
+def pair_counts(items: DataFrame, large: DataFrame, block_items: int = BLOCK_ITEMS, giant: int = GIANT_ITEMS) -> DataFrame:
+    """Baskets that hold both items of a pair: ``item_a`` < ``item_b``, ``n_both BIGINT``.
+
+    ``items`` has distinct (basket, item) rows and ``large`` the sizes of the baskets of more than ``block_items``; both
+    are read twice, so pass materialized ones. A large basket is cut into blocks by a hash of the item, and each pair of
+    blocks is a tile; any other basket is one tile. Tiles are what is grouped: no task holds a basket larger than a
+    tile, and every pair of a basket stands in one of its tiles. Counts combine before the shuffle.
+    """
+    keys = [c for c in items.columns if c != "item"]
+    cut = _in_blocks(items, large, block_items, giant).withColumn("block", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
     spread = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = spread.groupBy(
-        *keys, F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")
-    ).agg(F.collect_list(F.struct("item", "block")).alias("tile"))
-    one = tiles.select("lo", "hi", "tile", F.explode("tile").alias("x"))
+    lo, hi = F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")
+    there = (F.col("block") == F.greatest("block", "other")) & (F.col("block") != F.col("other"))
+    tiles = spread.groupBy(*keys, lo, hi).agg(
+        F.sort_array(F.collect_list(F.when(~there, F.col("item")))).alias("mine"), F.collect_list(F.when(there, F.col("item"))).alias("theirs")
+    ).where((F.col("lo") < F.col("hi")) | (F.size("mine") > 1))
+    one = tiles.select("lo", "hi", "mine", "theirs", F.posexplode("mine").alias("at", "p"))
     # within one block: later items only; between two: from the lower block to the higher
-    partner = F.when(
-        F.col("lo") == F.col("hi"), F.filter("tile", lambda y: y["item"] > F.col("x.item"))
-    ).when(F.col("x.block") == F.col("lo"), F.filter("tile", lambda y: y["block"] == F.col("hi")))
-    large_pairs = one.select(F.col("x.item").alias("p"), F.explode(F.transform(partner, lambda y: y["item"])).alias("q")).select(
-        F.least("p", "q").alias("item_a"), F.greatest("p", "q").alias("item_b")
-    )
-    return small_pairs.unionByName(large_pairs).groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("n_both"))
+    partners = F.when(F.col("lo") == F.col("hi"), F.slice("mine", F.col("at") + 2, F.size("mine"))).otherwise(F.col("theirs"))
+    pairs = one.select("p", F.explode(partners).alias("q")).select(F.least("p", "q").alias("item_a"), F.greatest("p", "q").alias("item_b"))
+    return pairs.groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("n_both"))
 
 
-def associations(df: DataFrame, basket: list[Column], item: str, min_both: int = 1, min_lift: float = 0.0, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def associations(
+    df: DataFrame, basket: list[Column], item: str, min_both: int = 1, min_lift: float = 0.0, block_items: int = BLOCK_ITEMS, giant: int = GIANT_ITEMS
+) -> DataFrame:
     """Pairs of items found together in at least ``min_both`` baskets, with lift and pointwise mutual information.
 
     Result: ``item_a`` < ``item_b``, ``n_both``, ``n_a``, ``n_b`` (baskets holding both, either), ``n_baskets``,
     ``lift`` = n_both * n_baskets / (n_a * n_b) and ``pmi`` = log2(lift), for pairs whose lift is at least
     ``min_lift``; the comparison is made on whole numbers where ``min_lift`` is one. The threshold on ``n_both`` is
     applied to the counted pairs before the marginals are joined. An item repeated in a basket counts once; rows with
-    a null in the basket's columns or the item don't count; an empty table has no pairs.
+    a null in the basket's columns or the item don't count; an empty table has no pairs. ``df`` is read once.
     """
-    items = basket_items(df, basket, item)
-    keys = [c for c in items.columns if c != "item"]
-    n_baskets = items.select(*keys).distinct().count()
-    counts = pair_counts(items, block_items).where(F.col("n_both") >= min_both)
+    items = materialize(basket_items(df, basket, item), "basket-items")
+    sizes = materialize(basket_sizes(items), "basket-sizes")
+    n_baskets, n_items = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    large = materialize(sizes.where(F.col("size") > block_items), "large-baskets")
+    counts = pair_counts(items, large, block_items, max(giant, n_items // MOST_GIANT)).where(F.col("n_both") >= min_both)
     per_item = items.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
     a, b = (per_item.select(F.col("item").alias(f"item_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
     out = counts.join(a, "item_a").join(b, "item_b")
