@@ -156,21 +156,26 @@ def pack(
     """
     items = sizes.select(F.col(item).alias("id"), F.col(size).cast("long").alias("size"))
     some = items.where(F.col("size") > 0)
-    whole = F.floor(F.col("size") / F.lit(capacity)).cast("int")
-    n_pieces = whole + F.when(F.col("size") % capacity > 0, 1).otherwise(0)
-    pieces = some.select("id", "size", F.explode(F.sequence(F.lit(0), n_pieces - 1)).alias("piece")).select(
-        "id", "piece", (F.col("piece").cast("long") * capacity).alias("piece_start"),
-        F.least(F.lit(capacity).cast("long"), F.col("size") - F.col("piece").cast("long") * capacity).alias("n"),
-        F.xxhash64("id", "piece").alias("h"), F.lit(1).cast("long").alias("one"),
-    )
+    whole, left = F.floor(F.col("size") / F.lit(capacity)), F.col("size") % capacity
+    # full pieces of large items, and what is left of every item
+    rests = some.where(left > 0).select("id", whole.cast("int").alias("piece"), (whole * capacity).alias("piece_start"), left.alias("n"), F.xxhash64("id").alias("h"), F.lit(1).cast("long").alias("one"))
+    full = some.where(F.col("size") >= capacity).select("id", F.xxhash64("id").alias("h"), whole.cast("long").alias("whole"))
     # at most `capacity` rows come to the driver
-    histogram = {r["n"]: r["count"] for r in pieces.groupBy("n").count().collect()}
+    histogram = {r["n"]: r["count"] for r in rests.groupBy("n").count().collect()}
+    if n_full := full.agg(F.sum("whole")).first()[0]:
+        histogram[capacity] = n_full
     plan = plan_windows(histogram, capacity, shorter)
     n_containers = sum(-(-w.count // (capacity // w.tier)) for w in plan)
     groups = max(1, -(-n_containers // group_containers))
     spark = sizes.sparkSession
     slots = F.broadcast(spark.createDataFrame(_slots(plan, capacity), _SLOT_SCHEMA))
-    ranked = running_total(pieces, ["n"], "h", ["id", "piece"], "one", "rank", buckets=64)
+    # a large item takes consecutive ranks, so its full pieces need none of their own
+    first = running_total(full, [], "h", ["id"], "whole", "first")
+    pieces = first.select("id", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole") - 1)).alias("nth")).select(
+        "id", F.col("nth").cast("int").alias("piece"), (F.col("nth") * capacity).alias("piece_start"), F.lit(capacity).cast("long").alias("n"), (F.col("first") + F.col("nth")).alias("rank")
+    )
+    columns = ["id", "piece", "piece_start", "n", "rank"]
+    ranked = running_total(rests, ["n"], "h", ["id"], "one", "rank").select(columns).unionByName(pieces.select(columns))
     c = F.col
     inside = c("rank") - c("lo")
     window = c("first_window") + F.floor(inside / c("per_window"))
@@ -178,7 +183,7 @@ def pack(
     container = F.floor(window / per_container).cast("long")
     position = (window - container * per_container) * c("tier") + F.element_at("offsets", (inside % c("per_window") + 1).cast("int"))
     placed = ranked.join(slots, (c("n") == c("slot_size")) & (c("rank") >= c("lo")) & (c("rank") < c("hi"))).select(
-        "id", "piece", "piece_start", c("n").alias("n_tokens"), "tier", container.alias("container"), position.cast("long").alias("position")
+        "id", "piece", c("piece_start").cast("long").alias("piece_start"), c("n").alias("n_tokens"), "tier", container.alias("container"), position.cast("long").alias("position")
     )
     # dealt back and forth: 0 1 2 2 1 0 0 1 2 ...
     turn, place = F.floor(c("container") / groups), c("container") % groups

@@ -1,7 +1,7 @@
 """Ranks and running sums within groups of any size, without a task per group.
 
-A group's rows are dealt into a fixed number of buckets in the order of a hash. The sums of the buckets, of which there
-are at most groups times buckets, are accumulated first; within a bucket an ordinary window does the rest.
+A group's rows are dealt into buckets in the order of a hash, as many as its size asks for. The sums of the buckets are
+accumulated first; within a bucket an ordinary window does the rest.
 """
 
 from __future__ import annotations
@@ -9,24 +9,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Buckets of a group.
-BUCKETS = 1_024
+#: Rows of a bucket, about, and the most buckets a group is dealt into.
+BUCKET_ROWS, MOST_BUCKETS = 100_000, 65_536
 
 
-def bucket_of(hashed: Column, buckets: int = BUCKETS) -> Column:
-    """The bucket of a 64-bit hash; buckets are consecutive ranges of the hash."""
-    if buckets & (buckets - 1) or not 1 <= buckets <= 2**16:
-        raise ValueError("buckets must be a power of two up to 65536")
-    return F.shiftrightunsigned(hashed, 64 - (buckets.bit_length() - 1)).cast("int") if buckets > 1 else F.lit(0)
+def bucket_bits(size: Column, bucket_rows: int = BUCKET_ROWS) -> Column:
+    """The bits of a group's bucket numbers: as many as give buckets of at most ``bucket_rows`` rows of its ``size``, up to MOST_BUCKETS."""
+    bits = F.ceil(F.log2(F.greatest(size.cast("double"), F.lit(1.0)) / F.lit(float(bucket_rows))))
+    return F.least(F.greatest(bits, F.lit(0)), F.lit(MOST_BUCKETS.bit_length() - 1)).cast("int")
 
 
-def running_total(df: DataFrame, group: list[str], hashed: str, ties: list[str], amount: str, out: str, buckets: int = BUCKETS) -> DataFrame:
+def running_total(df: DataFrame, group: list[str], hashed: str, ties: list[str], amount: str, out: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``df`` with ``out``: the sum of ``amount`` over the rows of its group that precede it.
 
-    Rows are ordered by the unsigned hash ``hashed``, then ``ties``, which together must tell rows apart. ``df`` is
-    read twice; pass a materialized one.
+    Rows are ordered by the unsigned hash ``hashed``, then ``ties``, which together must tell rows apart. A bucket is a
+    range of the hash, and a group has as many of them as its number of rows asks for; rows learn that number by a join
+    with a row per group. ``df`` is read three times; pass a materialized one. Groups must be few (sizes, patterns):
+    their counts are broadcast.
     """
-    dealt = df.withColumn("bucket__", bucket_of(F.col(hashed), buckets))
+    counts = df.groupBy(*group).agg(bucket_bits(F.count(F.lit(1)), bucket_rows).alias("bits__"))
+    told = df.join(F.broadcast(counts), group) if group else df.crossJoin(F.broadcast(counts))  # without groups one row
+    # the upper bits; a shift by 64 would be one by 0
+    bucket = F.when(F.col("bits__") == 0, F.lit(0).cast("long")).otherwise(F.expr(f"shiftrightunsigned(`{hashed}`, 64 - greatest(bits__, 1))"))
+    dealt = told.withColumn("bucket__", bucket).drop("bits__")
     sums = dealt.groupBy(*group, "bucket__").agg(F.sum(amount).alias("sum__"))
     before = Window.partitionBy(*group).orderBy("bucket__").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(*group, "bucket__", F.coalesce(F.sum("sum__").over(before), F.lit(0)).alias("offset__"))

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import base64
+import os
+import sys
+import types
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 #: The vocabulary file; any file of byte-pair ranks, one ``base64 rank`` a line, will do.
@@ -17,30 +21,35 @@ BATCH_ROWS = 256
 
 
 def _encoding(path: str):
-    """The encoding of a vocabulary file, kept with the interpreter, for tasks bring this module along anew."""
+    """The encoding of a vocabulary file, kept in the worker's process, for tasks bring this module along anew."""
     import tiktoken
 
-    kept = tiktoken.__dict__.setdefault("_by_path", {})
+    kept = sys.modules.setdefault("graphloom_kept", types.ModuleType("graphloom_kept")).__dict__
     if path in kept:
         return kept[path]
-    with open(path, "rb") as lines:
+    here = path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
+    with open(here, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     kept[path] = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return kept[path]
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over at least as many partitions as there are cores; one that has them is left alone, without a shuffle."""
+    """``df`` over at least as many partitions as there are cores; one that has them, or comes from a shuffle, is left alone."""
+    execution = df._jdf.queryExecution()
+    if execution.executedPlan().nodeName() == "AdaptiveSparkPlan":
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    return df.repartition(cores) if execution.toRdd().getNumPartitions() < cores else df
 
 
 def count_tokens(df: DataFrame, text: str, tokenizer: str = TOKENIZER, keep: tuple[str, ...] = ()) -> DataFrame:
     """The columns ``keep`` and ``n_tokens BIGINT``, the size of the whole ``text`` (null for null, 0 for '').
 
-    The vocabulary is read from ``tokenizer`` once per worker, which every executor must be able to open. Strings that
-    look like special tokens are ordinary text.
+    The vocabulary is read from ``tokenizer`` once per worker; executors that don't have that file get it from the driver.
+    Strings that look like special tokens are ordinary text.
     """
+    df.sparkSession.sparkContext.addFile(tokenizer)
     schema = df.select(*keep).schema.add("n_tokens", "long")
     kept = [field.name for field in schema.fields[:-1]]
 
