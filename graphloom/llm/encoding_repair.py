@@ -38,6 +38,9 @@ CLOSING = frozenset("”’»…“‘›")
 JOINING = frozenset("’–—‑")
 QUIET = frozenset("°ºªµ")
 PLAIN = frozenset("№€£§")
+MARKS = frozenset("™®©")
+# Signs of formulas and units.
+FORMULA_SIGNS = "²³¹⁰⁴⁵⁶⁷⁸⁹ⁿ₀₁₂₃₄₅₆₇₈₉±×÷≤≥≠≈≡√∞∑∏∂∆∇∫µ·∙°′″‰−→←↔∈∉∪∩⊂½¼¾™®©"
 
 # The character sets a text may have been read in while it was UTF-8.
 UTF8_READ_AS = (
@@ -62,10 +65,19 @@ MULTI_BYTE = frozenset({"gbk", "cp932", "big5", "euc_kr", "cp949", "euc_jp"})
 #: The least drop of the cost at which a word is taken for garbled: where the result is valid UTF-8, which seldom
 #: happens by chance, and otherwise.
 UTF8_DROP, OTHER_DROP = 0.3, 1.0
-MAX_LAYERS = 5
 REPLACEMENT = "�"
 #: Words a worker remembers the verdict of.
 MEMO_WORDS = 200_000
+#: Rows that are taken from a batch at once, and characters of results after which they are passed on.
+ROWS_AT_ONCE, CHARS_AT_ONCE = 64, 4_000_000
+
+#: Letters of other languages written in Latin letters: a text of theirs is as good as it is.
+MORE_LATIN = re.compile("[\u0100-\u017f\u01a0\u01a1\u01af\u01b0\u0218-\u021b\u1e00-\u1effýÝ]")
+#: A formula or a measure: letters, three in a row at most, with signs, Greek letters and at least one digit or operator; or letters related by signs.
+FORMULA = re.compile(
+    f"(?=.*[0-9²³¹⁰-⁹₀-₉+*/=^<>|√∑∏∂∆∇∫])(?:(?:[A-Za-z]{{1,3}}(?![A-Za-z]))|[0-9.,;:!?'\"()\\[\\]{{}}+*/=^<>|%_~-]|[{FORMULA_SIGNS}]|[\u0391-\u03c9])+"
+    "|[(\\[]?[A-Za-z](?:[±×÷≤≥≠≈≡·−→←↔∈∉∪∩⊂][A-Za-z])+[)\\].,;:!?]*"
+)
 
 WORD = re.compile("[^ \\t\\r\\n<>]*[^\\x00-\\x7f][^ \\t\\r\\n<>]*")
 RUN = re.compile("[^\\x00-\\x7f]+")
@@ -110,6 +122,8 @@ def _kind_of(ch: str) -> tuple[str, str, float]:
     if ch in RUSSIAN_SMALL or ch in RUSSIAN_CAPITAL:
         rarity = 0.12 * math.log2(110 / RUSSIAN_PER_MILLE[ch.lower()])
         return ("small" if ch in RUSSIAN_SMALL else "capital"), "cyrillic", 0.1 + rarity
+    if MORE_LATIN.match(ch):
+        return ("capital" if ch.isupper() else "small"), "latin", 0.3
     if o < 0xA0:
         return "symbol", "", 3.0
     if ch == REPLACEMENT or 0xE000 <= o < 0xF900:
@@ -188,7 +202,7 @@ def garbling_cost(word: str) -> float:
                 left, right = bool(before[1]), bool(after[1])
                 if left and right:
                     total += 0.0 if ch in "’" else 0.2 if ch in JOINING else 1.2
-                elif left and ch not in CLOSING and ch not in JOINING:
+                elif left and ch not in CLOSING and ch not in JOINING and not (ch in MARKS and word[at - 1].isascii()):
                     total += 0.9
                 elif right and ch not in OPENING and ch not in JOINING:
                     total += 0.7
@@ -283,11 +297,23 @@ def _looks_clean(word: str, cost: float) -> bool:
     return cost <= sum(_kind(c)[2] for c in word) + 1e-9 and not any("\x80" <= c <= "\x9f" or "\u3400" <= c < "\ud7b0" for c in word)
 
 
-def candidates(word: str, depth: int = 0, others: bool = True) -> tuple[Repair, ...]:
-    """The acceptable readings of a word, best first. Without ``others`` only text that was UTF-8 is looked for."""
+def candidates(word: str) -> tuple[Repair, ...]:
+    """The acceptable readings of a word, best first; nested layers are undone to any depth."""
+    return _readings(word, True, {})
+
+
+def _readings(word: str, others: bool, known: dict[tuple[str, bool], tuple[Repair, ...]]) -> tuple[Repair, ...]:
+    """``candidates``; without ``others`` only text that was UTF-8 is looked for.
+
+    Undoing UTF-8 makes a text shorter and other mistakes nest once, so this ends; ``known`` keeps what several ways lead to.
+    """
+    if (word, others) in known:
+        return known[word, others]
+    key = word, others
     cost = garbling_cost(word)
     if _looks_clean(word, cost):
         return ()
+    others = others and not FORMULA.fullmatch(word)
     wide = any(c >= "\u2e80" for c in word)
     found: dict[str, Repair] = {}
     tried = [([(x, "utf-8") for x in UTF8_READ_AS], UTF8_DROP), (OTHER_PAIRS, OTHER_DROP)]
@@ -302,12 +328,13 @@ def candidates(word: str, depth: int = 0, others: bool = True) -> tuple[Repair,
             layers = ((read_as, written_in),)
             # two swaps of single bytes are as good as one, and a layer that isn't enough by itself proves nothing: only UTF-8 is tried below
             utf8, enough = written_in == "utf-8", drop >= least
-            nests = utf8 or (enough and not found)
-            if depth < MAX_LAYERS and nests and (deeper := candidates(text, depth + 1, others and utf8 and enough)):
+            nests = len(text) < len(word) if utf8 else enough and not found
+            if nests and (deeper := _readings(text, others and utf8 and enough, known)):
                 layers, text, drop = layers + deeper[0].layers, deeper[0].text, drop + deeper[0].drop
             if drop >= least and (text not in found or found[text].drop < drop - 1e-9):
                 found[text] = Repair(layers, text, drop)
-    return tuple(sorted(found.values(), key=lambda r: (-round(r.drop, 6), len(r.layers))))
+    known[key] = tuple(sorted(found.values(), key=lambda r: (-round(r.drop, 6), len(r.layers))))
+    return known[key]
 
 
 class Repairer:
@@ -371,7 +398,16 @@ def _repair_rows(df: DataFrame, item: str, text: str, schema, row) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repairer = Repairer()
         for batch in batches:
-            rows = [r for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for r in row(repairer, i, t)]
+            rows, held = [], 0
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    for made in row(repairer, i, t):
+                        rows.append(made)
+                        held += len(t)
+                    if held >= CHARS_AT_ONCE:
+                        yield _batch(rows, arrow)
+                        rows, held = [], 0
             if rows:
                 yield _batch(rows, arrow)
 
@@ -384,7 +420,8 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def find_garbled(df: DataFrame, item: str, text: str) -> DataFrame:
-    """The ``item`` of each text with at least one garbled word, as ``repair_texts`` finds them. No shuffle."""
+    """The ``item`` of each text with at least one garbled word, as ``repair_texts`` finds them. One pass; only a text
+    table in fewer partitions than there are cores is spread over them first."""
     schema = df.select(item).schema
     return _repair_rows(df, item, text, schema, lambda r, i, t: [(i,)] if r.garbled_words(t) else [])
 
@@ -396,7 +433,9 @@ def repair_texts(df: DataFrame, item: str, text: str) -> DataFrame:
     is lost), ``n_words INT`` (distinct garbled words), ``n_lost INT`` (those holding the replacement character, whose
     original is gone) and ``repaired``, the whole text. Null and empty texts and those of ASCII alone are never
     garbled; texts of any length are read whole; repeated rows come out as often as they occur; an empty table gives
-    an empty result. Other columns are ignored. No shuffle.
+    an empty result. Other columns are ignored. Text of other languages, formulas and measures are left as they are: a
+    mistake that turns letters of one Latin alphabet into those of another is only seen where it leaves signs or capitals
+    inside words. One pass; only a text table in fewer partitions than there are cores is spread over them first.
     """
     schema = df.select(item).schema.add("charsets", "string").add("n_words", "integer").add("n_lost", "integer").add("repaired", "string")
 
