@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+
+from graphloom.serving import CacheCleaner, Pruner
 
 MINUTE_MS = 60_000
 
 
 @dataclass(frozen=True)
 class Config:
-    """``mode`` batch computes every query; serving keeps results for ``result_ttl`` ms and runs the plugins."""
+    """``mode`` batch computes every query; serving keeps results for ``result_ttl`` ms and runs the
+    plugins: by default one drops expired segments every five minutes, one expired results every minute."""
 
     name: str
     graph_type: str
@@ -20,7 +23,7 @@ class Config:
     algorithms: tuple[str, ...] = ("pagerank", "salsa")
     mode: str = "serving"
     cache_key: str = "all_options"
-    plugins: tuple[Callable, ...] = field(default_factory=tuple)
+    plugins: tuple[Callable, ...] = (Pruner, CacheCleaner)
 
     def __post_init__(self) -> None:
         if not self.name or not isinstance(self.name, str):

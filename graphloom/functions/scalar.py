@@ -21,6 +21,23 @@ def lenient_int(text: Column) -> Column:
     return F.coalesce(F.regexp_extract(text, "^[+-]?[0-9]+", 0).try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
+def strict_int(text: Column) -> Column:
+    """The whole number a text is; any other text is an error, raised when the row is computed. Null stays null."""
+    number = F.when(text.rlike(r"\A[+-]?[0-9]+\z"), text).try_cast("bigint")
+    wrong = F.raise_error(F.concat(F.lit("no whole number: "), text)).cast("bigint")
+    return F.when(text.isNull() | number.isNotNull(), number).otherwise(wrong)
+
+
+def padded(text: Column, width: int) -> Column:
+    """``text`` with blanks after it up to ``width`` characters; a longer one stays as it is."""
+    return F.when(F.length(text) < width, F.rpad(text, width, " ")).otherwise(text)
+
+
+def bar(n: Column, sign: str = "#") -> Column:
+    """``sign`` repeated ``n`` times."""
+    return F.repeat(F.lit(sign), n.cast("int"))
+
+
 def suffix_int(vid: Column, kind: str) -> Column:
     """N of an id ``kind:N``, null for any other text."""
     return F.when(vid.rlike(rf"\A{kind}:[+-]?[0-9]+\z"), F.substring_index(vid, ":", -1)).try_cast("bigint")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from graphloom.config import Config
 from graphloom.operators import lightgcn, ranking, storage, training
 from graphloom.operators.sequence import number_rows
+from graphloom.runtime import remove, scratch
 from graphloom.serving import MemoryStore, PeriodicPlugin, Store, Telemetry, monotonic_ms
 
 LOG_SCHEMA = "seq bigint, ts bigint, src string, dst string, etype string, weight double"
@@ -84,9 +85,10 @@ def instance(name: str) -> Graph:
 class Graph:
     """Open with a config, close when done (or use as a context manager).
 
-    Inserts are an append-only log; single ones gather on the driver until something is read. Segments of
-    ``segment_max_edges`` inserts follow from the sequence numbers. Pruning hides closed segments from lookups and
-    rankers, while known vertices stay known.
+    Inserts are an append-only log of Parquet folders by segment in the shared folder, so a plan over it is one scan
+    however many inserts there were; single ones gather on the driver until something is read. Segments of
+    ``segment_max_edges`` inserts follow from the sequence numbers. Pruning deletes the files of closed segments, while
+    known vertices stay known.
     """
 
     def __init__(
@@ -99,10 +101,9 @@ class Graph:
         self.store = store or MemoryStore(clock, lambda held: held.unpersist())
         self.model: DataFrame | None = None
         self.model_info: dict[str, Any] | None = None
-        self._log: DataFrame | None = None
+        self._path, self._parts, self._prunings = scratch(spark, "graph"), 0, 0
         self._pending: list[tuple] = []
         self._inserted = 0
-        self._pruned: set[int] = set()
         self._started = clock()
         self.plugins: list[PeriodicPlugin] = [make(self) for make in config.plugins]
         if config.mode == "serving":
@@ -136,52 +137,57 @@ class Graph:
             self._pending.append((self._inserted, self.clock(), str(src), str(dst), str(etype), float(weight)))
 
     def insert_edges(self, df: DataFrame, order: Iterable[str]) -> int:
-        """Append an edge log (``src``, ``dst``, ``etype``, ``weight`` and the columns of ``order``) in that order."""
+        """Append an edge log (``src``, ``dst``, ``etype``, ``weight`` and the columns of ``order``) in that order; how many edges it has.
+
+        Rows without both ends are no edges; a null weight is 1.0.
+        """
         self._drain()
+        df = df.where(F.col("src").isNotNull() & F.col("dst").isNotNull())
         with self.telemetry.span("ingestion.insert_edges", graph=self.config.name) as meta:
             numbered = number_rows(df, list(order), "seq", self._inserted + 1)
-            rows = numbered.select("seq", F.lit(self.clock()).cast("bigint").alias("ts"), "src", "dst", "etype", F.col("weight").cast("double").alias("weight"))
-            self._append(rows)
-            added = rows.count()
+            rows = numbered.select("seq", F.lit(self.clock()).cast("bigint").alias("ts"), "src", "dst", "etype", F.coalesce(F.col("weight").cast("double"), F.lit(1.0)).alias("weight"))
+            added = self._append(rows)
             self._inserted += added
             meta["count"] = added
             return added
 
-    def _append(self, rows: DataFrame) -> None:
-        self._log = rows if self._log is None else self._log.unionByName(rows)
+    def _append(self, rows: DataFrame) -> int:
+        part = f"{self._path}/log/part={self._parts}"
+        storage.assign_segments(rows, self.config.segment_max_edges).write.partitionBy("segment_id").parquet(part)
+        self._parts += 1
+        return self.spark.read.schema(f"{LOG_SCHEMA}, segment_id bigint").parquet(part).count()
 
     def _drain(self) -> None:
         if self._pending:
             rows, self._pending = self._pending, []
-            self._append(self.spark.createDataFrame(rows, LOG_SCHEMA))
+            self._append(self.spark.createDataFrame(rows, LOG_SCHEMA).coalesce(1))
 
     @property
     def log(self) -> DataFrame:
-        """All inserts with their segments, pruned ones included."""
+        """All inserts of live segments, with their segments."""
         self._drain()
-        log = self._log if self._log is not None else self.spark.createDataFrame([], LOG_SCHEMA)
-        return storage.assign_segments(log, self.config.segment_max_edges)
-
-    @property
-    def live_log(self) -> DataFrame:
-        log = self.log
-        return log.where(~F.col("segment_id").isin(sorted(self._pruned))) if self._pruned else log
+        schema = f"{LOG_SCHEMA}, segment_id bigint"
+        if not self._parts:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self._path}/log").drop("part")
 
     # -- lookups
 
     @property
     def edges(self) -> DataFrame:
         """The stored edges of all live segments."""
-        return storage.stored_edges(self.live_log)
+        return storage.stored_edges(self.log)
 
     @property
     def vertices(self) -> DataFrame:
-        return storage.vertices(self.log)
+        """(``id``): every end that was ever inserted."""
+        found = storage.vertices(self.log)
+        return found.unionByName(self.spark.read.schema("id string").parquet(f"{self._path}/known").select("id")).distinct() if self._prunings else found
 
     @property
     def segments(self) -> DataFrame:
         """Live segments; the first was created when the graph was opened."""
-        meta = storage.segment_meta(self.live_log)
+        meta = storage.segment_meta(self.log)
         return meta.withColumn("created_at", F.when(F.col("segment_id") == 0, F.lit(self._started)).otherwise(F.col("created_at")))
 
     def neighbors(self, vertex: str, direction: str = "outgoing", etype: str | None = None) -> DataFrame:
@@ -191,7 +197,7 @@ class Graph:
 
     def edge_count(self) -> int:
         """Inserts into live segments, repeated ones included."""
-        return self.live_log.count()
+        return self.log.count()
 
     def vertex_count(self) -> int:
         """Vertices ever seen."""
@@ -199,9 +205,13 @@ class Graph:
 
     def prune(self, cutoff: int) -> int:
         """Drop closed segments created before ``cutoff`` (the clock's ms); how many that were."""
-        meta = self.segments
-        gone = [r["segment_id"] for r in storage.expired_segments(meta, F.lit(cutoff)).select("segment_id").collect()]
-        self._pruned.update(gone)
+        gone = [r["segment_id"] for r in storage.expired_segments(self.segments, F.lit(cutoff)).select("segment_id").collect()]
+        if gone:
+            # a row per vertex stays of what is deleted
+            storage.vertices(self.log.where(F.col("segment_id").isin(gone))).write.parquet(f"{self._path}/known/pruning={self._prunings}")
+            self._prunings += 1
+            for segment in gone:
+                remove(self.spark, f"{self._path}/log/part=*/segment_id={segment}")
         return len(gone)
 
     def prune_expired(self) -> int:
@@ -243,6 +253,11 @@ class Graph:
                 return _salsa(self, seeds, kind, **options)
             if key is not None:
                 result = result.persist()
+                try:
+                    result.count()  # what can't be computed isn't kept
+                except Exception:
+                    result.unpersist()
+                    raise
                 self.store.put(key, result, self.config.result_ttl)
             return result
 

@@ -74,6 +74,23 @@ def vertex_dictionary(log: DataFrame) -> DataFrame:
     return number_rows(first_seen(log), ["seen", "id"], "internal_id", 0).select("id", "internal_id")
 
 
+def encode(df: DataFrame, dictionary: DataFrame, column: str, out: str) -> DataFrame:
+    """``df`` with ``out``, the number of the vertex in ``column``; null if the dictionary doesn't know it."""
+    return df.join(dictionary.select(F.col("id").alias(column), F.col("internal_id").alias(out)), column, "left")
+
+
+def decode(df: DataFrame, dictionary: DataFrame, column: str, out: str) -> DataFrame:
+    """``df`` with ``out``, the vertex that has the number in ``column``; null if there is none."""
+    return df.join(dictionary.select(F.col("internal_id").alias(column), F.col("id").alias(out)), column, "left")
+
+
+def same_set(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row (``rows``, ``equal``): the distinct rows of ``a``, and whether ``b`` has just these; both have the same columns."""
+    sides = a.withColumn("in_a__", F.lit(1)).unionByName(b.withColumn("in_a__", F.lit(0)))
+    per = sides.groupBy(*a.columns).agg(F.max("in_a__").alias("a"), F.min("in_a__").alias("b"))
+    return per.agg(F.count(F.when(F.col("a") == 1, 1)).alias("rows"), (F.count(F.when((F.col("a") == 0) | (F.col("b") == 1), 1)) == 0).alias("equal"))
+
+
 def neighbours(edges: DataFrame, of: DataFrame | None = None, direction: str = "outgoing", etype: str | None = None) -> DataFrame:
     """(``id``, ``neighbour``), each once: the other ends of the edges of the vertices ``of`` (``id``; all if None)."""
     if direction not in ("outgoing", "incoming"):

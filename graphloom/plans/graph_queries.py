@@ -47,6 +47,7 @@ _FOLLOWS = """f0 AS (
 ), log AS (
   SELECT 'user:' || user_id AS src, 'user:' || next_id AS dst, 'follow' AS etype, 1.0::DOUBLE AS weight FROM f0 WHERE next_id IS NOT NULL AND user_id IS NOT NULL
 ), e AS (SELECT DISTINCT src, dst, etype, weight FROM log)"""
+LOG_SQL, VERTICES_SQL, FOLLOWS_SQL = _LOG, _V, _FOLLOWS
 _INTERACTIONS = """log AS (
   SELECT 'profile:' || profile_id AS src, tipo || ':' || db_id AS dst, 'interaction' AS etype, coalesce(CAST(weight AS DOUBLE), 1.0) AS weight
   FROM interactions JOIN (SELECT DISTINCT user_idx, profile_id FROM users WHERE profile_id IS NOT NULL) USING (user_idx)

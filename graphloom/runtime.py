@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,7 +43,7 @@ _held: list[tempfile.TemporaryDirectory] = []
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder, removed when this process ends."""
+    """A new path in the shared folder, removed when this process ends or the ``scratch_scope`` around it is left."""
     path = f"{shared_dir(spark)}/graphloom/{label}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
@@ -52,12 +54,35 @@ def scratch(spark: SparkSession, label: str) -> str:
 _written: list[tuple] = []
 
 
+def _delete(jvm, conf, pattern: str) -> int:
+    """Delete the files and folders a pattern names; how many they were."""
+    at = jvm.org.apache.hadoop.fs.Path(pattern)
+    fs = at.getFileSystem(conf)
+    found = [entry.getPath() for entry in fs.globStatus(at) or []]
+    return sum(bool(fs.delete(one, True)) for one in found)
+
+
+def remove(spark: SparkSession, pattern: str) -> int:
+    """Delete the files and folders that ``pattern`` names, wherever they are stored; how many they were."""
+    return _delete(spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), pattern)
+
+
+@contextmanager
+def scratch_scope() -> Iterator[None]:
+    """What is written to scratch paths inside is removed at the end; results that read it must be taken before."""
+    mark = len(_written)
+    try:
+        yield
+    finally:
+        while len(_written) > mark:
+            _delete(*_written.pop())
+
+
 @atexit.register
 def _remove_scratch() -> None:
-    for jvm, conf, path in _written:
+    for written in _written:
         try:
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
+            _delete(*written)
         except Exception:  # the session may be gone; the folder then outlives it
             return
 

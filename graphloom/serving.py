@@ -5,7 +5,7 @@ from __future__ import annotations
 import threading
 import time
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from typing import Any, Protocol
 
 from pyspark.sql import Column, DataFrame
@@ -126,7 +126,8 @@ class PeriodicPlugin:
     def start(self) -> None:
         def loop() -> None:
             while not self._stop.wait(self.interval / 1000):
-                self.tick()
+                with suppress(Exception):  # telemetry has been told; the next turn may succeed
+                    self.tick()
 
         self._thread = threading.Thread(target=loop, daemon=True)
         self._thread.start()

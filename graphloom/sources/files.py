@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.functions.scalar import lenient_int, vertex_id
+from graphloom.functions.scalar import lenient_int, strict_int, vertex_id
 from graphloom.operators.storage import both_ways, edge_log
 
 # The columns of each file, all read as text.
@@ -25,12 +25,29 @@ def read_table(spark: SparkSession, path: str, columns: tuple[str, ...], sep: st
     return raw.select(*[F.col(c) if c in raw.columns else F.lit(None).cast("string").alias(c) for c in columns])
 
 
+def write_table(df: DataFrame, path: str, columns: tuple[str, ...], sep: str = ",") -> None:
+    """``df`` as text files with a header line each, as ``read_table`` and ``read_tsv`` take them; nulls are empty."""
+    out = df.select(*[F.col(c).cast("string").alias(c) for c in columns]).write
+    out.csv(path, sep=sep, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
+def _data_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(``line``): the lines of text files without the first of each, white space at their ends and blank ones."""
+    # no text holds this separator, so a line is one field and the reader leaves out the first line of every file
+    lines = spark.read.schema("line string").csv(path, sep="\x01", header=True, enforceSchema=True, quote="", escape="", multiLine=False)
+    return lines.select(F.regexp_replace("line", r"\s+\z", "").alias("line")).where(F.length("line") > 0)
+
+
 def read_tsv(spark: SparkSession, path: str, columns: tuple[str, ...]) -> DataFrame:
-    """A tab-separated file: header skipped, blank lines dropped, trailing white space trimmed."""
-    lines = spark.read.text(path).select(F.rtrim(F.regexp_replace("value", r"[ \t\r]+\z", "")).alias("line"))
-    fields = F.split("line", "\t")
-    wanted = [F.trim(F.try_element_at(fields, F.lit(k + 1))).alias(c) for k, c in enumerate(columns)]
-    return lines.where((F.length("line") > 0) & (fields[0] != columns[0])).select(*wanted)
+    """A tab-separated file by place: first line skipped, blank lines dropped, trailing white space trimmed.
+
+    A line with another number of columns is an error, raised when the rows are computed.
+    """
+    fields = F.split("line", "\t", -1)
+    wrong = F.raise_error(F.concat(F.lit(f"not {len(columns)} columns: "), F.col("line"))).cast("array<string>")
+    whole = F.when(F.size(fields) == len(columns), fields).otherwise(wrong)
+    rows = _data_lines(spark, path).select(F.inline(F.array(F.struct(whole.alias("fields")))))
+    return rows.select(*[F.get("fields", k).alias(c) for k, c in enumerate(columns)])
 
 
 def follows(spark: SparkSession, path: str) -> DataFrame:
@@ -88,13 +105,14 @@ def professor_interactions(spark: SparkSession, path: str) -> DataFrame:
 def interactions(spark: SparkSession, folder: str) -> DataFrame:
     """profile -> item edges of ``users.tsv``, ``items.tsv`` and ``interactions.tsv``.
 
-    An interaction whose user or item isn't in its file is an error, raised when the rows are computed; so is a weight
-    that is no number.
+    An interaction whose user or item isn't in its file is an error, raised when the rows are computed; so are an id
+    that is no whole number, a weight that doesn't begin with a number and a line with columns missing or left over.
     """
-    u = read_tsv(spark, f"{folder}/users.tsv", USERS)
-    i = read_tsv(spark, f"{folder}/items.tsv", ITEMS).select("item_idx", F.concat_ws(":", "tipo", "db_id").alias("item"))
-    rows = read_tsv(spark, f"{folder}/interactions.tsv", INTERACTIONS).join(u, "user_idx", "left").join(i, "item_idx", "left")
-    known = F.when(F.col("profile_id").isNull() | F.col("item").isNull(), F.raise_error(F.concat(F.lit("unknown user or item: "), F.concat_ws("/", "user_idx", "item_idx"))).cast("string"))
+    whole = lambda df, *names: df.withColumns({n: strict_int(F.col(n)) for n in names})
+    u = whole(read_tsv(spark, f"{folder}/users.tsv", USERS), *USERS)
+    i = whole(read_tsv(spark, f"{folder}/items.tsv", ITEMS), "item_idx", "db_id").select("item_idx", F.concat_ws(":", "tipo", F.col("db_id").cast("string")).alias("item"))
+    rows = whole(read_tsv(spark, f"{folder}/interactions.tsv", INTERACTIONS), "user_idx", "item_idx").join(u, "user_idx", "left").join(i, "item_idx", "left")
+    known = F.when(F.col("profile_id").isNull() | F.col("item").isNull(), F.raise_error(F.concat(F.lit("unknown user or item: "), F.concat_ws("/", F.col("user_idx").cast("string"), F.col("item_idx").cast("string")))).cast("string"))
     number = F.regexp_extract("weight", r"^[+-]?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?", 0)
     weight = F.when(number == "", F.raise_error(F.lit("a weight is no number")).cast("double")).otherwise(number.try_cast("double"))
     return edge_log(rows, F.coalesce(known, vertex_id("profile", F.col("profile_id"))), F.col("item"), F.lit("interaction"), weight)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -12,7 +14,7 @@ from graphloom.config import Config
 from graphloom.graph import EmbeddingsNotReady, Graph, InvalidEmbeddings, instance
 from graphloom.operators import evaluation, lightgcn, ranking, storage, training
 from graphloom.operators.sequence import number_rows
-from graphloom.serving import CacheCleaner, MemoryStore, Pruner, Telemetry
+from graphloom.serving import CacheCleaner, MemoryStore, PeriodicPlugin, Pruner, Telemetry
 from tests.conftest import rows
 
 
@@ -75,6 +77,28 @@ def test_segments_rotate_and_prune(graph):
     assert graph.prune(10**6) == 0
 
 
+def test_pruned_segments_leave_no_files(graph, spark):
+    for k in range(7):
+        graph.insert_edge(str(k), str(k + 1), "x")
+    path = graph._path.removeprefix("file://")
+    folders = lambda: sorted(f.name for f in Path(path).glob("log/part=*/segment_id=*"))
+    assert graph.edge_count() == 7 and folders() == ["segment_id=0", "segment_id=1", "segment_id=2"]
+    graph.clock.now = 5
+    assert graph.prune(5) == 2 and folders() == ["segment_id=2"]
+    assert graph.edge_count() == 1 and graph.vertex_count() == 8
+
+
+def test_batches_without_both_ends_and_plans_that_do_not_grow(graph, spark):
+    batch = spark.createDataFrame([("a", "b", "x", 2.0), (None, "b", "x", 1.0), ("a", None, "x", 1.0), ("b", "c", None, None)], "src string, dst string, etype string, weight double")
+    assert graph.insert_edges(batch, ["src"]) == 2
+    assert rows(graph.edges, "src", "dst", "weight") == [("a", "b", 2.0), ("b", "c", 1.0)] and graph.vertex_count() == 3
+    before = str(graph.log._jdf.queryExecution().logical()).count("\n")
+    for _ in range(3):
+        assert graph.insert_edges(batch, ["src"]) == 2
+    assert graph.edge_count() == 8 and str(graph.log._jdf.queryExecution().logical()).count("\n") == before
+    assert graph.insert_edges(batch.limit(0), ["src"]) == 0
+
+
 @pytest.mark.parametrize("size, stored, weight", [(100, 1, 1.0), (1, 2, 2.0)])
 def test_repeated_rows_are_stored_once_per_segment(spark, size, stored, weight):
     with Graph(spark, Config("dup", "bipartite", segment_max_edges=size, mode="batch")) as g:
@@ -318,6 +342,29 @@ def test_recommend_dispatch(spark):
         assert g.recommend("A", top_k=5) is g.recommend("A", top_k=1)
 
 
+def test_failures_are_not_kept_and_plugins_go_on(spark):
+    turns = []
+
+    class Failing(PeriodicPlugin):
+        def __init__(self, graph):
+            super().__init__(graph, 5)
+
+        def run(self):
+            turns.append(1)
+            raise RuntimeError
+
+    with Graph(spark, Config("fails", "directed", plugins=(Failing,))) as g:
+        broken = lambda graph, seeds, kind: seeds.select(F.raise_error(F.lit("no")).alias("id"))
+        with pytest.raises(Exception, match="no"):
+            g.recommend("A", algorithm=broken)
+        assert not g.store._held
+        waited = time.monotonic()
+        while len(turns) < 2 and time.monotonic() - waited < 10:
+            time.sleep(0.01)
+    assert len(turns) >= 2
+    assert [p.__name__ for p in Config("d", "directed").plugins] == ["Pruner", "CacheCleaner"]
+
+
 def test_store():
     clock, dropped = Clock(), []
     s = MemoryStore(clock, dropped.append)

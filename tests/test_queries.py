@@ -5,12 +5,12 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry_points
-from graphloom.plans import data_queries, graph_queries
+from graphloom.plans import data_queries, file_queries, graph_queries
 from tests.compare import check, connect
 from tests.conftest import SF
 
-ALL = graph_queries.REGISTRY.queries | data_queries.REGISTRY.queries
-SQL = graph_queries.REGISTRY.sql | data_queries.REGISTRY.sql
+ALL = graph_queries.REGISTRY.queries | data_queries.REGISTRY.queries | file_queries.REGISTRY.queries
+SQL = graph_queries.REGISTRY.sql | data_queries.REGISTRY.sql | file_queries.REGISTRY.sql
 
 
 @pytest.fixture(scope="module")

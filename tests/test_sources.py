@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,6 +88,34 @@ def test_stream_equals_batch_and_replays(spark, tmp_path):
     assert got == [(k + 1, f"i{k}", k // 4) for k in range(10)]
 
 
+def test_stream_survives_batches_without_rows_and_is_pruned(spark, tmp_path):
+    schema = "src string, dst string, etype string, weight double, ts timestamp, n bigint"
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    log = lambda df: storage.edge_log(df, F.col("src"), F.col("dst"), F.col("etype"), F.col("weight"), F.col("ts"), F.col("n"))
+    run = lambda: streaming.ingest(log(spark.readStream.schema(schema).parquet(str(source))), out, f"{out}/c", ["n"], 2, availableNow=True).awaitTermination()
+    counts = []
+    for start, end in ((0, None), (0, "x"), (5, None), (5, "y")):
+        spark.createDataFrame([("a", end, "x", 1.0, datetime(2024, 1, 1 + k), k) for k in range(start, start + 5)], schema).coalesce(1).write.mode("append").parquet(str(source))
+        run()
+        counts.append(streaming.read_log(spark, out).count())
+    assert counts == [0, 5, 5, 10]
+    assert rows(streaming.read_log(spark, out), "seq", "segment_id") == [(k + 1, k // 2) for k in range(10)]
+    assert streaming.prune_log(spark, out, F.lit("2024-01-04").cast("timestamp")) == 2
+    assert rows(streaming.read_log(spark, out).select("segment_id").distinct()) == [(2,), (3,), (4,)]
+    assert not list((tmp_path / "out").glob("log/batch=*/segment_id=0"))
+
+
+@pytest.mark.parametrize("name, line", [("users", "0\t10\t5"), ("users", "x\t10"), ("items", "5\tpost"), ("items", "5\tpost\t7.5"), ("interactions", "0\t5\t1.5"), ("interactions", "0\t5\tx\tt")])
+def test_interaction_files_are_strict(spark, tmp_path, name, line):
+    good = {"users": "0\t10", "items": "5\tpost\t77", "interactions": "0\t5\t1.5kg\t2024"}
+    for other, text in good.items():
+        put(tmp_path, f"{other}.tsv", f"any\theader\n{text}\n" + (f"{line}\n" if other == name else ""))
+    with pytest.raises(Exception, match="no whole number|columns|a weight is no number"):
+        files.interactions(spark, str(tmp_path)).collect()
+    put(tmp_path, f"{name}.tsv", f"any\theader\n\n{good[name]}  \n")
+    assert rows(files.interactions(spark, str(tmp_path)), "src", "weight") == [("profile:10", 1.5)]
+
+
 def test_windowed_popularity(spark, tmp_path):
     schema = "src string, dst string, ts timestamp"
     spark.sql("select 'u' src, 'i' dst, timestamp '2024-01-01 10:00:00' ts union all select 'u', 'i', timestamp '2024-01-03 10:00:00'").coalesce(1).write.parquet(str(tmp_path / "in"))
