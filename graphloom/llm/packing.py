@@ -14,7 +14,7 @@ from __future__ import annotations
 from bisect import bisect_right
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -207,6 +207,45 @@ def packing_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     )
 
 
+def packing_checks(packed: DataFrame, sizes: DataFrame, item: str, size: str, capacity: int = CAPACITY) -> DataFrame:
+    """One row of what must hold of ``packed``, a result of ``pack`` for ``sizes``; both are read several times.
+
+    ``over_capacity``: containers that hold more than the capacity; ``overlapping``: pieces that begin before the one
+    before them ends; ``wrongly_cut``: items no larger than the capacity in several pieces; ``of_two_tiers``: containers
+    of two window lengths; ``texts`` and ``without_container``: items, and those that take no room;
+    ``every_token_once``: the pieces of each item follow each other without a gap and add up to it; ``nearly_full``: at
+    least 99 % of the room is used, the last container aside; ``even_groups``: the containers of two step groups differ
+    by 2 at most.
+    """
+    c = F.col
+    held = packed.where(c("container").isNotNull())
+    # a container has at most `capacity` pieces, and an item as many as its size asks for
+    in_container = Window.partitionBy("container").orderBy("position")
+    touching = held.withColumn("ends", F.lag(c("position") + c("n_tokens")).over(in_container))
+    per_container = touching.groupBy("container").agg(
+        F.sum("n_tokens").alias("used"), F.count(F.when(c("position") < c("ends"), 1)).alias("overlaps"), F.countDistinct("tier").alias("tiers"), F.max("step_group").alias("g")
+    )
+    room = per_container.agg(
+        F.count(F.when(c("used") > capacity, 1)).alias("over_capacity"), F.coalesce(F.sum("overlaps"), F.lit(0)).alias("overlapping"), F.count(F.when(c("tiers") > 1, 1)).alias("of_two_tiers"),
+        (F.coalesce(F.sum("used"), F.lit(0)) >= F.lit(0.99 * capacity) * (F.count(F.lit(1)) - 1)).alias("nearly_full"),
+    )
+    groups = per_container.groupBy("g").agg(F.count(F.lit(1)).alias("n")).agg((F.coalesce(F.max("n") - F.min("n"), F.lit(0)) <= 2).alias("even_groups"))
+    per_item = packed.groupBy(c(item).alias("id")).agg(
+        F.count("container").alias("pieces"), F.sum("n_tokens").alias("placed"), F.min("piece_start").alias("first"), F.max(c("piece_start") + c("n_tokens")).alias("last"),
+        F.sum(F.when(c("n_tokens") == capacity, 0).otherwise(1)).alias("partial"), F.countDistinct("piece").alias("numbers"), F.count(F.lit(1)).alias("rows"),
+    )
+    whole = F.coalesce(c(size), F.lit(0))
+    sound = (c("placed") == whole) & (c("first") == 0) & (c("last") == whole) & (c("partial") <= 1) & (c("numbers") == c("rows"))
+    items = sizes.select(c(item).alias("id"), size).join(per_item, "id", "full").agg(
+        F.count(F.when((whole <= capacity) & (c("pieces") > 1), 1)).alias("wrongly_cut"), F.count(F.lit(1)).alias("texts"), F.count(F.when(c("pieces") == 0, 1)).alias("without_container"),
+        (F.count(F.when(F.coalesce(sound, F.lit(False)), 1)) == F.count(F.lit(1))).alias("every_token_once"),
+    )
+    parts = [part.withColumn("k", F.lit(1)) for part in (room, groups, items)]  # a row each
+    return parts[0].join(parts[1], "k").join(parts[2], "k").select(
+        "over_capacity", "overlapping", "wrongly_cut", "of_two_tiers", "texts", "without_container", "every_token_once", "nearly_full", "even_groups"
+    )
+
+
 def pack_texts(docs: DataFrame, item: str, text: str, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """``pack`` over whole texts sized in tokens; the sizes are written once to the shared folder."""
     from graphloom.llm.tokens import count_tokens

@@ -27,8 +27,10 @@ def running_total(df: DataFrame, group: list[str], hashed: str, ties: list[str],
     with a row per group. ``df`` is read three times; pass a materialized one. Groups must be few (sizes, patterns):
     their counts are broadcast.
     """
-    counts = df.groupBy(*group).agg(bucket_bits(F.count(F.lit(1)), bucket_rows).alias("bits__"))
-    told = df.join(F.broadcast(counts), group) if group else df.crossJoin(F.broadcast(counts))  # without groups one row
+    if group:
+        told = df.join(F.broadcast(df.groupBy(*group).agg(bucket_bits(F.count(F.lit(1)), bucket_rows).alias("bits__"))), group)
+    else:  # one number
+        told = df.withColumn("bits__", bucket_bits(F.lit(df.count()), bucket_rows))
     # the upper bits; a shift by 64 would be one by 0
     bucket = F.when(F.col("bits__") == 0, F.lit(0).cast("long")).otherwise(F.expr(f"shiftrightunsigned(`{hashed}`, 64 - greatest(bits__, 1))"))
     dealt = told.withColumn("bucket__", bucket).drop("bits__")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import cooccurrence, encoding_repair, mixing, packing, similar_vectors, tokens, topn
 from graphloom.plans.registry import Registry
-from graphloom.runtime import load
+from graphloom.runtime import load, materialize
 
 REGISTRY = Registry()
 query = REGISTRY.query
@@ -69,6 +69,20 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(*pair).distinct()
 
 
+_P4_RECALL = f"""
+WITH v AS (
+  SELECT item_idx FROM item_index JOIN embedding_rows USING (row_index)
+  WHERE len(embedding) = {DIM} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {DIM} AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0
+)
+SELECT count(*) FILTER (item_idx % {ASK_EVERY} = 0) * least({NEIGHBOURS}, count(*) - 1) AS true_neighbours, true AS recall_holds FROM v"""
+
+
+@query("p4_recall_holds", _P4_RECALL)
+def p4_recall_holds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether ``p4_recall`` is at least 0.95."""
+    return p4_recall(spark, sf_dir).select("true_neighbours", (F.col("recall") >= 0.95).alias("recall_holds"))
+
+
 @query("p4_recall")
 def p4_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index against brute force, for every item whose id is divisible by 20: true neighbours and those found."""
@@ -131,6 +145,19 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing_report(p8_packed(spark, sf_dir))
 
 
+@query(
+    "p8_checks",
+    """
+SELECT 0::BIGINT AS over_capacity, 0::BIGINT AS overlapping, 0::BIGINT AS wrongly_cut, 0::BIGINT AS of_two_tiers, count(*) AS texts, count(*) FILTER (text IS NULL OR text = '') AS without_container,
+       true AS every_token_once, true AS nearly_full, true AS even_groups FROM documents""",
+)
+def p8_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of ``p8_packed``, one row: every token of every text stands in one place, no container holds too much, little room is left."""
+    sized = materialize(tokens.count_tokens(load(spark, sf_dir, "documents"), "text", keep=("doc_id",)), "token-sizes")
+    packed = materialize(packing.pack(sized, "doc_id", "n_tokens"), "packed")
+    return packing.packing_checks(packed, sized, "doc_id", "n_tokens")
+
+
 # ---------------------------------------------------------------- problem 9
 
 
@@ -145,6 +172,20 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(p9_selected(spark, sf_dir), load(spark, sf_dir, "mix_targets"))
 
 
+@query(
+    "p9_checks",
+    """
+WITH d AS (SELECT source, count(*) FILTER (text IS NOT NULL AND text <> '') AS n FROM documents GROUP BY source)
+SELECT t.source, coalesce(d.n, 0) > 0 AS has_documents, true AS share_met, true AS within_repeats
+FROM mix_targets t LEFT JOIN d ON d.source = t.source WHERE t.target_share > 0 AND t.max_repeats > 0""",
+)
+def p9_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per target source of ``p9_selected``: whether its share (of what sources with documents can get) is met to 2 % of it, and no text is used too often."""
+    docs = mixing.sized_documents(load(spark, sf_dir, "documents"), tokens.TOKENIZER)
+    table = load(spark, sf_dir, "mix_targets")
+    return mixing.mix_checks(materialize(mixing.select_mix(docs, mixing.read_targets(table)), "mix"), docs, table)
+
+
 # ---------------------------------------------------------------- problem 10
 
 
@@ -153,6 +194,14 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_repair.find_garbled(load(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+@query("p10_left_clean", "SELECT count(*) AS clean FROM documents WHERE text IS NULL OR regexp_full_match(text, '[\\x00-\\x7f]*', 's')")
+def p10_left_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the texts that can't be garbled (null, empty or ASCII alone) aren't found."""
+    docs = load(spark, sf_dir, "documents")
+    clean = docs.where(F.col("text").isNull() | ~F.col("text").rlike(encoding_repair.NOT_ASCII)).select("doc_id")
+    return clean.join(encoding_repair.find_garbled(docs, "doc_id", "text"), "doc_id", "left_anti").agg(F.count(F.lit(1)).alias("clean"))
+
+
 @query("p10_repaired")
 def p10_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_repair.repair_texts(load(spark, sf_dir, "documents"), "doc_id", "text")
