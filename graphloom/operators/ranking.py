@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.scalar import draw, ratio
-from graphloom.operators.storage import ranked
+from graphloom.operators.sequence import number_rows
+from graphloom.operators.storage import ranked, vertices
 from graphloom.runtime import materialize
 
 RESET = 0.15
@@ -35,62 +36,78 @@ def transitions(edges: DataFrame, weighted: bool = False) -> DataFrame:
     return rows.join(out, "src").select("src", "dst", (F.col("n") / F.col("out")).alias("p"))
 
 
-def _flows(edges: DataFrame, weighted: bool = False) -> DataFrame:
-    """Transitions with two more kinds of rows: one per vertex that keeps its visits, one per vertex without a way out."""
-    p = transitions(edges, weighted).select("src", "dst", "p", F.lit("step").alias("kind"))
-    leaves = F.when(F.col("weight") > 0, 1).otherwise(0) if weighted else F.lit(1)
-    ends = edges.select(F.inline(F.array(F.struct(F.col("src").alias("id"), leaves.alias("out")), F.struct(F.col("dst").alias("id"), F.lit(0).alias("out")))))
-    known = ends.groupBy("id").agg(F.max("out").alias("out"))
-    keep = F.struct(F.col("id").alias("dst"), F.lit(0.0).alias("p"), F.lit("keep").alias("kind"))
-    lost = F.struct(F.col("id").alias("dst"), F.lit(1.0).alias("p"), F.lit("lost").alias("kind"))
-    more = known.select(F.col("id").alias("src"), F.inline(F.when(F.col("out") == 1, F.array(keep)).otherwise(F.array(keep, lost))))
-    return p.unionByName(more)
+def _numbered(edges: DataFrame) -> DataFrame:
+    """(``id``, ``n``): the vertices with consecutive numbers in the order of their ids; written once."""
+    return materialize(number_rows(vertices(edges), ["id"], "n", 0).select("id", "n"), "walk-vertices")
 
 
-def expected_visits(edges: DataFrame, seeds: DataFrame, walk_length: int = WALK_LENGTH, reset: float = RESET, weighted: bool = False) -> DataFrame:
-    """(``seed``, ``id``, ``visits``): the expected visits of a walk of ``walk_length`` vertices from each seed.
+def _flows(edges: DataFrame, numbers: DataFrame, reset: float, weighted: bool) -> DataFrame:
+    """(``src``, ``dst``, ``w``, ``keeps``): where a share ``w`` of what stands at a vertex goes, by the vertices' numbers.
 
-    After each visit the walk returns to the seed with probability ``reset``, else follows an edge row at random;
-    without one it returns too. The visits of a seed add up to ``walk_length``. ``seeds`` has ``id``; unknown ones
-    have no result. One join and one aggregation per step.
+    A null ``dst`` is the seed: what is reset goes there, and all that stands at a vertex without a way out. One row a
+    vertex, with ``keeps``, carries its visits on.
     """
+    there = lambda c: numbers.select(F.col("id").alias(c), F.col("n").alias(f"{c}_n"))
+    p = transitions(edges, weighted).join(there("src"), "src").join(there("dst"), "dst")
+    steps = p.select(F.col("src_n").alias("src"), F.col("dst_n").alias("dst"), (F.col("p") * (1 - reset)).alias("w"), F.lit(False).alias("keeps"))
+    leaving = (edges.where(F.col("weight") > 0) if weighted else edges).select(F.col("src").alias("id")).distinct().withColumn("leaves", F.lit(True))
+    home = F.struct(F.lit(None).cast("long").alias("dst"), F.when(F.col("leaves"), F.lit(reset)).otherwise(F.lit(1.0)).alias("w"), F.lit(False).alias("keeps"))
+    keep = F.struct(F.col("n").alias("dst"), F.lit(0.0).alias("w"), F.lit(True).alias("keeps"))
+    return steps.unionByName(numbers.join(leaving, "id", "left").select(F.col("n").alias("src"), F.inline(F.array(home, keep))))
+
+
+def _visits(edges: DataFrame, numbers: DataFrame, seeds: DataFrame, walk_length: int, reset: float, weighted: bool) -> DataFrame:
+    """``expected_visits`` by the vertices' numbers."""
     if walk_length < 1:
         raise ValueError("walk_length must be positive")
-    # every step reads the same flows: written once, so that a step's plan is a scan, a join and an aggregation
-    flows = materialize(_flows(edges, weighted), "flows")
-    known = flows.where(F.col("kind") == "keep").select(F.col("src").alias("id"))
+    # every step reads the same flows: written once, so that a step is a scan (or a broadcast, if they are small), a join and an aggregation
+    flows = materialize(_flows(edges, numbers, reset, weighted), "flows")
     one = F.lit(1.0)
-    state = seeds.select("id").distinct().join(known, "id", "left_semi").select(F.col("id").alias("seed"), "id", one.alias("mass"), one.alias("visits"))
-    move = F.col("mass") * F.col("p")
-    to = lambda node, mass, visits: F.struct(node.alias("id"), mass.alias("m"), visits.alias("v"))
-    none = F.lit(0.0)
-    parts = (
-        F.when(F.col("kind") == "step", F.array(to(F.col("dst"), move * (1 - reset), none)))
-        .when(F.col("kind") == "keep", F.array(to(F.col("dst"), none, F.col("visits")), to(F.col("seed"), F.col("mass") * reset, none)))
-        .otherwise(F.array(to(F.col("seed"), F.col("mass") * (1 - reset), none)))
-    )
+    state = seeds.select("id").distinct().join(numbers, "id").select(F.col("n").alias("seed"), F.col("n").alias("id"), one.alias("mass"), one.alias("visits"))
     for step in range(1, walk_length):
         if step % CUT_EVERY == 0:
             state = materialize(state, "visits")
-        spread = state.join(flows, F.col("id") == F.col("src")).select("seed", F.inline(parts))
-        state = spread.groupBy("seed", "id").agg(F.sum("m").alias("mass"), (F.sum("v") + F.sum("m")).alias("visits"))
+        moved = state.join(flows, F.col("id") == F.col("src")).select(
+            "seed", F.coalesce("dst", "seed").alias("id"), (F.col("mass") * F.col("w")).alias("m"), F.when(F.col("keeps"), F.col("visits")).otherwise(F.lit(0.0)).alias("v")
+        )
+        state = moved.groupBy("seed", "id").agg(F.sum("m").alias("mass"), (F.sum("v") + F.sum("m")).alias("visits"))
     return state.select("seed", "id", "visits")
 
 
+def _named(df: DataFrame, numbers: DataFrame) -> DataFrame:
+    """``df`` with ids for the numbers in ``seed`` and ``id``."""
+    for column in ("seed", "id"):
+        df = df.withColumnRenamed(column, "n").join(numbers.withColumnRenamed("id", f"{column}__"), "n").drop("n").withColumnRenamed(f"{column}__", column)
+    return df
+
+
+def expected_visits(edges: DataFrame, seeds: DataFrame, walk_length: int = WALK_LENGTH, reset: float = RESET, weighted: bool = False) -> DataFrame:
+    """(``seed``, ``id``, ``visits``): the expected visits of a walk of ``walk_length`` vertices from each seed.
+
+    After each visit the walk returns to the seed with probability ``reset``, else follows an edge row at random;
+    without one it returns too. The visits of a seed add up to ``walk_length``. ``seeds`` has ``id``; unknown ones
+    have no result. One join and one aggregation per step, over numbers in place of ids.
+    """
+    numbers = _numbered(edges)
+    return _named(_visits(edges, numbers, seeds, walk_length, reset, weighted), numbers).select("seed", "id", "visits")
+
+
 def simulated_visits(
     edges: DataFrame, seeds: DataFrame, num_walks: int = 1000, walk_length: int = WALK_LENGTH, reset: float = RESET, random_seed: int = 42
 ) -> DataFrame:
     """``expected_visits`` as counted in ``num_walks`` reproducible walks; the visits of a seed add up exactly.
 
-    Every choice is drawn from a hash of (random seed, seed vertex, walk, step). Out-edges are numbered, so a walker
-    meets its next vertex by an equi-join on (vertex, number), which spreads even a vertex of very many edges.
+    Every choice is drawn from a hash of (random seed, seed vertex, walk, step). Out-edges are numbered by their places
+    in a range-partitioned order, so no task holds a vertex's edges, and a walker meets its next vertex by an equi-join
+    on (vertex, number), which spreads even a vertex of very many edges.
     """
     if num_walks < 1 or walk_length < 1:
         raise ValueError("num_walks and walk_length must be positive")
-    by = Window.partitionBy("src").orderBy("dst", "etype", "weight")
-    numbered = materialize(edges.select("src", "dst", (F.row_number().over(by) - 1).alias("nth")), "numbered-edges")
-    out = numbered.groupBy("src").agg(F.count(F.lit(1)).alias("out")).select(F.col("src").alias("at"), "out")
-    known = numbered.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    placed = materialize(number_rows(edges.select("src", "dst", "etype", "weight"), ["src", "dst", "etype", "weight"], "place"), "placed-edges")
+    first = materialize(placed.groupBy("src").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("out")), "out-degrees")
+    numbered = placed.join(first, "src").select("src", "dst", (F.col("place") - F.col("first")).alias("nth"))
+    out = first.select(F.col("src").alias("at"), "out")
+    known = vertices(placed)
     walkers = (
         seeds.select("id").distinct().join(known, "id", "left_semi")
         .select(F.col("id").alias("seed"), F.explode(F.sequence(F.lit(1), F.lit(num_walks))).alias("walk"))
@@ -114,14 +131,17 @@ def pagerank(edges: DataFrame, seeds: DataFrame, top_k: int = 100, walk_length:
     ``weighted`` steps (see ``transitions``) are for the exact mode.
     """
     if mode == "exact":
-        visits = expected_visits(edges, seeds, walk_length, reset_prob, weighted)
+        numbers = _numbered(edges)
+        visits = _visits(edges, numbers, seeds, walk_length, reset_prob, weighted)
     elif mode == "monte_carlo" and not weighted:
         visits = simulated_visits(edges, seeds, num_walks, walk_length, reset_prob, random_seed)
     else:
         raise ValueError("mode must be exact or, without weighted, monte_carlo")
-    kept = ranked(visits.where((F.col("id") != F.col("seed")) & (F.round("visits", 9) > 0)), top_k, _best("visits"), ["seed"])
+    # numbers are in the order of ids, so ties are ordered alike by both
+    kept = ranked(visits.where((F.col("id") != F.col("seed")) & (F.col("visits") > 0)), top_k, _best("visits"), ["seed"])
     whole = F.sum("visits").over(Window.partitionBy("seed"))
-    return kept.select("seed", "id", (F.col("visits") / whole).alias("score"), "rank")
+    scored = kept.select("seed", "id", (F.col("visits") / whole).alias("score"), "rank")
+    return (_named(scored, numbers) if mode == "exact" else scored).select("seed", "id", "score", "rank")
 
 
 def circle_of_trust(edges: DataFrame, seeds: DataFrame, size: int = 100, **walk: object) -> DataFrame:

@@ -19,10 +19,8 @@ query = REGISTRY.query
 SEGMENT_EDGES = 1_000
 CUTOFF = "2024-01-15 00:00:00"
 WALK = 10
-SEEDS = ("user:1", "user:2", "user:3", "user:5", "user:8", "user:13")
-WALKS, WALK_STEPS = 50, 6
-CIRCLE = 12
-LAYERS, DIM = 2, 4
+#: Searches ask for every user whose id is divisible by this, against all edges.
+ASK_EVERY = 20
 
 # ---------------------------------------------------------------- SQL parts
 
@@ -53,12 +51,11 @@ _INTERACTIONS = """log AS (
   FROM interactions JOIN (SELECT DISTINCT user_idx, profile_id FROM users WHERE profile_id IS NOT NULL) USING (user_idx)
   JOIN (SELECT DISTINCT item_idx, tipo, db_id FROM items WHERE db_id IS NOT NULL) USING (item_idx) WHERE weight IS NULL OR NOT isnan(weight)
 ), e AS (SELECT DISTINCT src, dst, etype, weight FROM log)"""
-_SEED_LIST = ", ".join(f"('{s}')" for s in SEEDS)
-_SIX = f"(VALUES {_SEED_LIST}) x(id)"
+_ASKED = f"(SELECT DISTINCT 'user:' || user_id AS id FROM events WHERE user_id % {ASK_EVERY} = 0) x(id)"
 _ALL_USERS = "(SELECT DISTINCT 'user:' || user_id AS id FROM events WHERE user_id IS NOT NULL) x(id)"
 
 
-def _ppr_sql(edges: str, length: int = WALK, r: float = ranking.RESET, seeds: str = _SIX) -> str:
+def _ppr_sql(edges: str, length: int = WALK, r: float = ranking.RESET, seeds: str = _ASKED) -> str:
     """The expected visits of every seed as a chain of steps."""
     sql = f""", p AS MATERIALIZED (
   SELECT src, dst, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY src) AS p FROM {edges} GROUP BY src, dst
@@ -77,7 +74,7 @@ def _ppr_sql(edges: str, length: int = WALK, r: float = ranking.RESET, seeds: st
 
 def _ppr_ranked(k: int) -> str:
     return f""", ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY seed ORDER BY round(visits, 9) DESC, id) AS rank FROM visits WHERE id <> seed AND round(visits, 9) > 0
+  SELECT *, row_number() OVER (PARTITION BY seed ORDER BY round(visits, 9) DESC, id) AS rank FROM visits WHERE id <> seed AND visits > 0
 ), kept AS (SELECT seed, id, visits / sum(visits) OVER (PARTITION BY seed) AS score, rank FROM ranked WHERE rank <= {k})"""
 
 
@@ -100,8 +97,9 @@ def _segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
     return storage.assign_segments(sources.activity(spark, sf_dir, numbered=True), SEGMENT_EDGES)
 
 
-def _seeds(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(s,) for s in SEEDS], "id string")
+def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = load(spark, sf_dir, "events").where(F.col("user_id") % ASK_EVERY == 0)
+    return asked.select(vertex_id("user", F.col("user_id")).alias("id")).distinct()
 
 
 def _all_users(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,9 +177,9 @@ for _direction, _here, _there in (("outgoing", "src", "dst"), ("incoming", "dst"
         )
 
 
-@query("neighbors_of_seeds", f"WITH {_BOTH} SELECT DISTINCT src AS id, dst AS neighbour FROM b WHERE src IN (SELECT id FROM (VALUES {_SEED_LIST}) x(id))")
+@query("neighbors_of_seeds", f"WITH {_BOTH} SELECT DISTINCT src AS id, dst AS neighbour FROM b WHERE src IN (SELECT id FROM {_ASKED})")
 def neighbors_of_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return storage.neighbours(_both(spark, sf_dir), _seeds(spark))
+    return storage.neighbours(_both(spark, sf_dir), _seeds(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- segments
@@ -287,15 +285,15 @@ def transition_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("ppr_exact", f"WITH {_BOTH}{_ppr_sql('b')}{_ppr_ranked(100)} SELECT seed, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM kept")
 def ppr_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(ranking.pagerank(_both(spark, sf_dir), _seeds(spark)), "score")
+    return _rounded(ranking.pagerank(_both(spark, sf_dir), _seeds(spark, sf_dir)), "score")
 
 
-@query("ppr_visits", f"WITH {_FOLLOWS}{_ppr_sql('e', 8)} SELECT seed, id, round(visits, 6) AS visits FROM visits")
+@query("ppr_visits", f"WITH {_FOLLOWS}{_ppr_sql('e')} SELECT seed, id, round(visits, 6) AS visits FROM visits")
 def ppr_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(ranking.expected_visits(storage.stored_edges(sources.follows(spark, sf_dir)), _seeds(spark), 8), "visits")
+    return _rounded(ranking.expected_visits(storage.stored_edges(sources.follows(spark, sf_dir)), _seeds(spark, sf_dir)), "visits")
 
 
-def _walk_sql(seeds: str = f"(VALUES {_SEED_LIST}) s(id)", walks: int = WALKS, steps: int = WALK_STEPS) -> str:
+def _walk_sql(seeds: str, walks: int = 1_000, steps: int = ranking.WALK_LENGTH) -> str:
     rnd = lambda t, c: f"('0x' || substr(md5('42|' || seed || '|' || walk || '|{t}|{c}'), 1, 8))::BIGINT"
     sql = f"""WITH {_BOTH}, n AS MATERIALIZED (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst, etype, weight) - 1 AS nth, count(*) OVER (PARTITION BY src) AS out FROM b),
 w0 AS MATERIALIZED (SELECT s.id AS seed, walk, s.id AS place FROM {seeds}, range(1, {walks + 1}) r(walk) WHERE s.id IN (SELECT src FROM b))"""
@@ -307,14 +305,14 @@ w0 AS MATERIALIZED (SELECT s.id AS seed, walk, s.id AS place FROM {seeds}, range
     return sql + f" SELECT seed, place AS id, count(*)::DOUBLE AS visits FROM ({every}) GROUP BY ALL"
 
 
-@query("ppr_monte_carlo", _walk_sql())
+@query("ppr_monte_carlo", _walk_sql(_ASKED.replace(" x(id)", " s(id)")))
 def ppr_monte_carlo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.simulated_visits(_both(spark, sf_dir), _seeds(spark), WALKS, WALK_STEPS)
+    return ranking.simulated_visits(_both(spark, sf_dir), _seeds(spark, sf_dir))
 
 
-@query("circle_of_trust", f"WITH {_BOTH}{_ppr_sql('b')}{_ppr_ranked(CIRCLE)} SELECT seed, id FROM kept")
+@query("circle_of_trust", f"WITH {_BOTH}{_ppr_sql('b')}{_ppr_ranked(100)} SELECT seed, id FROM kept")
 def circle_of_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.circle_of_trust(_both(spark, sf_dir), _seeds(spark), CIRCLE)
+    return ranking.circle_of_trust(_both(spark, sf_dir), _seeds(spark, sf_dir))
 
 
 _LINKS = """,
@@ -323,7 +321,7 @@ rows AS MATERIALIZED (SELECT src, dst, count(*) AS n, sum(count(*)) OVER (PARTIT
 links AS MATERIALIZED (SELECT seed, hub, share, dst, n, out FROM hubs JOIN rows ON src = hub),
 a1 AS MATERIALIZED (SELECT seed, dst, sum(share * n / out) AS score FROM links GROUP BY seed, dst),
 got AS MATERIALIZED (SELECT seed, dst, sum(n) AS n FROM links GROUP BY seed, dst)"""
-_SALSA = f"WITH {_BOTH}{_ppr_sql('b')}{_ppr_ranked(CIRCLE)}" + _LINKS
+_SALSA = f"WITH {_BOTH}{_ppr_sql('b')}{_ppr_ranked(100)}" + _LINKS
 
 
 def _salsa_end(last: str) -> str:
@@ -334,7 +332,7 @@ SELECT seed, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM f
 
 @query("salsa", _SALSA + _salsa_end("a1"))
 def salsa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(ranking.salsa(_both(spark, sf_dir), _seeds(spark), 20, CIRCLE), "score")
+    return _rounded(ranking.salsa(_both(spark, sf_dir), _seeds(spark, sf_dir)), "score")
 
 
 def _feedback_sql(iterations: int, sql: str = _SALSA) -> str:
@@ -345,9 +343,9 @@ a{k} AS MATERIALIZED (SELECT l.seed, l.dst, sum(h.share * l.n / l.out) AS score
     return sql + _salsa_end(f"a{iterations}")
 
 
-@query("salsa_feedback", _feedback_sql(3))
+@query("salsa_feedback", _feedback_sql(5))
 def salsa_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(ranking.salsa(_both(spark, sf_dir), _seeds(spark), 20, CIRCLE, 3, feedback=True), "score")
+    return _rounded(ranking.salsa(_both(spark, sf_dir), _seeds(spark, sf_dir), feedback=True), "score")
 
 
 # every user of the events as a seed, with the operators' defaults
@@ -369,7 +367,7 @@ def ppr_visits_all_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(ranking.expected_visits(storage.stored_edges(sources.follows(spark, sf_dir)), _all_users(spark, sf_dir)), "visits")
 
 
-@query("ppr_monte_carlo_all_users", _walk_sql(_ALL_USERS.replace(" x(id)", " s(id)"), 1_000, ranking.WALK_LENGTH))
+@query("ppr_monte_carlo_all_users", _walk_sql(_ALL_USERS.replace(" x(id)", " s(id)")))
 def ppr_monte_carlo_all_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.simulated_visits(_both(spark, sf_dir), _all_users(spark, sf_dir))
 
@@ -425,14 +423,17 @@ def adj_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(lightgcn.normalized_adjacency(_pairs(spark, sf_dir)), "w")
 
 
-def _e0(spark: SparkSession, sf_dir: str, dim: int = DIM) -> DataFrame:
+DEFAULTS = training.TrainingOptions()
+
+
+def _e0(spark: SparkSession, sf_dir: str, dim: int = DEFAULTS.embedding_dim) -> DataFrame:
     """Embeddings that depend on the vertex's name alone."""
     d = F.explode(F.sequence(F.lit(0), F.lit(dim - 1)))
     named = storage.vertices(_log(spark, sf_dir)).select("id", d.alias("d"))
     return named.withColumn("x", draw(F.col("id"), F.col("d")) / float(2**32) - 0.5)
 
 
-def _propagate_sql(layers: int, dim: int = DIM) -> str:
+def _propagate_sql(layers: int, dim: int = DEFAULTS.embedding_dim) -> str:
     sql = f"""WITH {_ADJ}, {_V}, t0 AS MATERIALIZED (SELECT id, d, ('0x' || substr(md5(id || '|' || d), 1, 8))::BIGINT / 4294967296.0 - 0.5 AS x FROM v, range(0, {dim}) r(d))"""
     for k in range(1, layers + 1):
         sql += f", t{k} AS MATERIALIZED (SELECT adj.row AS id, d, sum(w * x) AS x FROM adj JOIN t{k - 1} ON id = col GROUP BY 1, 2)"
@@ -440,22 +441,13 @@ def _propagate_sql(layers: int, dim: int = DIM) -> str:
     return sql + f" SELECT id, CAST(d AS INTEGER) AS d, round(sum(x) / {layers + 1}, 6) AS x FROM ({every}) GROUP BY id, d"
 
 
-for _name, _layers in (("propagate_1", 1), ("propagate_k", LAYERS)):
+for _name, _layers in (("propagate_1", 1), ("propagate_k", DEFAULTS.layers)):
     REGISTRY.add(
         _name,
         lambda spark, sf_dir, k=_layers: _rounded(lightgcn.propagate(_e0(spark, sf_dir), lightgcn.normalized_adjacency(_pairs(spark, sf_dir)), k), "x"),
         _propagate_sql(_layers),
     )
 
-DEFAULTS = training.TrainingOptions()
-
-
-@query("propagate_defaults", _propagate_sql(DEFAULTS.layers, DEFAULTS.embedding_dim))
-def propagate_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Propagation with the layers and dimensions of a model trained with the defaults."""
-    start = _e0(spark, sf_dir, DEFAULTS.embedding_dim)
-    return _rounded(lightgcn.propagate(start, lightgcn.normalized_adjacency(_pairs(spark, sf_dir)), DEFAULTS.layers), "x")
-
 
 _VECTORS = """u AS (SELECT 'user:' || vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings WHERE label < 5),
 i AS (SELECT 'item:' || vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings WHERE label >= 5),

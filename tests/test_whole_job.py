@@ -25,7 +25,7 @@ def test_every_user_is_a_seed(spark, name):
 
 
 def test_propagation_has_the_default_dimensions(spark):
-    assert of(spark, "propagate_defaults").select("d").distinct().count() == 64
+    assert of(spark, "propagate_k").select("d").distinct().count() == 64
 
 
 def test_walks_and_circles_have_the_default_sizes(spark):
