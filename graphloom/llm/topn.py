@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Groups with at least this share of all rows are heavy; there are at most 1 / HEAVY_SHARE of them.
-HEAVY_SHARE = 0.001
+from graphloom.runtime import materialize
+
+#: Groups with at least this share of all rows are heavy, and so are those of HEAVY_ROWS rows with 1 / MOST_HEAVY of all.
+HEAVY_SHARE, HEAVY_ROWS, MOST_HEAVY = 0.001, 10_000_000, 100_000
 #: Rows of a heavy group that share a salt, about.
 SALT_ROWS = 100_000
 
@@ -27,8 +29,8 @@ def top_n(
 ) -> DataFrame:
     """Each group's first ``n`` items by score descending, then item ascending (all, if it has fewer).
 
-    Exact row counts per group split the groups. A heavy one (at least ``heavy_share`` of all rows, so at most
-    ``1 / heavy_share`` of them, which are broadcast) is spread over ``count / salt_rows`` salts by its items, range
+    Exact row counts per group split the groups. A heavy one (at least ``heavy_share`` of all rows, or in very large
+    tables HEAVY_ROWS; so there are at most MOST_HEAVY of them, which are broadcast) is spread over ``count / salt_rows`` salts by its items, range
     sorted by (group, salt), cut to ``n`` per salt and only then put together. The light groups go through an
     ordinary window, whose limit is applied before the shuffle as well. Both parts are united.
 
@@ -39,10 +41,11 @@ def top_n(
     if n < 1:
         raise ValueError("n must be positive")
     rows = scored_pairs(df, group, item, score)
-    counts = rows.groupBy("g").agg(F.count(F.lit(1)).alias("size"))
-    total = rows.count()
+    counts = materialize(rows.groupBy("g").agg(F.count(F.lit(1)).alias("size")), "group-sizes")
+    total = counts.agg(F.sum("size")).first()[0] or 0
+    least = max(2.0, min(heavy_share * total, max(HEAVY_ROWS, total / MOST_HEAVY)))
     salts = F.ceil(F.col("size") / F.lit(salt_rows)).cast("int")
-    heavy = F.broadcast(counts.where(F.col("size") >= F.lit(max(2.0, heavy_share * total))).select(F.col("g").alias("hg"), salts.alias("salts")))
+    heavy = F.broadcast(counts.where(F.col("size") >= F.lit(least)).select(F.col("g").alias("hg"), salts.alias("salts")))
     best = F.max("s").alias("s")
 
     hot = rows.join(heavy, F.col("g") == F.col("hg")).groupBy("g", "i", "salts").agg(best)
