@@ -16,6 +16,8 @@ from graphloom.runtime import materialize
 
 RESET = 0.15
 WALK_LENGTH = 10
+#: Targets of a source that one task pairs with the seeds among them.
+HUB_TARGETS = 4_096
 #: Steps after which a walk's state is written and its plan begins anew.
 CUT_EVERY = 10
 
@@ -187,21 +189,27 @@ def salsa(
 
 
 def similar_items(
-    edges: DataFrame, seeds: DataFrame | None = None, normalize: str = "jaccard", degree: str = "overlap", min_overlap: int = 1, top_k: int = 20
+    edges: DataFrame, seeds: DataFrame | None = None, normalize: str = "jaccard", degree: str = "overlap", min_overlap: int = 1, top_k: int = 20, hub_targets: int = HUB_TARGETS
 ) -> DataFrame:
     """(``seed``, ``id``, ``overlap``, ``score``, ``rank``): items that share sources with a seed item.
 
     ``seeds`` (``id``; all targets if None) are targets of edges. The overlap counts distinct sources of both.
     ``degree`` says what an item's own degree is: the overlap, as parity has it, or with ``global`` its distinct
-    sources. ``normalize`` is raw, jaccard or cosine.
+    sources. ``normalize`` is raw, jaccard or cosine. The targets of a source of more than ``hub_targets`` are cut into
+    blocks, which meet its seeds apart from each other.
     """
     if normalize not in ("raw", "jaccard", "cosine") or degree not in ("overlap", "global"):
         raise ValueError("unknown normalize or degree")
-    pairs = edges.select("src", "dst").distinct()
+    pairs = materialize(edges.select("src", "dst").distinct(), "source-targets")
+    per_source = pairs.groupBy("src").agg(F.ceil(F.count(F.lit(1)) / F.lit(hub_targets)).cast("int").alias("blocks"))
+    hubs = materialize(per_source.where(F.col("blocks") > 1), "hubs")
+    in_blocks = lambda df: df.join(hubs, "src", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     asked = pairs if seeds is None else pairs.join(seeds.select(F.col("id").alias("dst")).distinct(), "dst", "left_semi")
     mine = asked.select("src", F.col("dst").alias("seed"))
     theirs = pairs.select("src", F.col("dst").alias("id"))
-    shared = mine.join(theirs, "src").where(F.col("id") != F.col("seed")).groupBy("seed", "id").agg(F.count(F.lit(1)).alias("overlap"))
+    mine = in_blocks(mine).select("src", "seed", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    theirs = in_blocks(theirs).select("src", "id", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
+    shared = mine.join(theirs, ["src", "block"]).where(F.col("id") != F.col("seed")).groupBy("seed", "id").agg(F.count(F.lit(1)).alias("overlap"))
     sources = pairs.groupBy("dst").agg(F.count(F.lit(1)).alias("degree"))
     found = shared.where(F.col("overlap") >= min_overlap).join(sources.select(F.col("dst").alias("seed"), F.col("degree").alias("d_seed")), "seed")
     d_item = F.col("overlap")

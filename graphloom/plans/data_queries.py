@@ -63,7 +63,24 @@ def p2_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.select("line_id", "user_idx", "item_idx", F.round("weight", 6).alias("weight"), F.unix_micros("inserted_at").alias("at_us"))
 
 
-@query("p2_rejects")
+@query(
+    "p2_rejects",
+    _P2_RECORDS
+    + r"""
+, bad AS (SELECT line_id, rec.batch, i.line_no, rec.line FROM rec JOIN judged USING (line_id) JOIN interactions_raw i USING (line_id) WHERE NOT valid
+), told AS (
+  SELECT *, regexp_full_match(line, '("([^"]|"")*"|[^\t"]*)(\t("([^"]|"")*"|[^\t"]*))*', 's') AS well_quoted,
+         list_transform(regexp_extract_all(line || chr(9), '("(?:[^"]|"")*"|[^\t"]*)\t', 1), lambda x: CASE WHEN x[1] = '"' THEN replace(x[2:len(x) - 1], '""', '"') ELSE x END) AS f
+  FROM bad
+)
+SELECT line_id, batch, line_no, CASE
+  WHEN NOT well_quoted THEN 'quoting' WHEN len(f) <> 4 THEN 'columns'
+  WHEN NOT regexp_full_match(f[1], '-?[0-9]+') OR try_cast(f[1] AS INTEGER) IS NULL THEN 'user_idx'
+  WHEN NOT regexp_full_match(f[2], '-?[0-9]+') OR try_cast(f[2] AS INTEGER) IS NULL THEN 'item_idx'
+  WHEN NOT regexp_full_match(f[3], '-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?') OR NOT coalesce(isfinite(try_cast(f[3] AS DOUBLE)), false) THEN 'weight'
+  ELSE 'inserted_at' END AS reason
+FROM told""",
+)
 def p2_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strict_load.rejects(load(spark, sf_dir, "interactions_raw")).select("line_id", "batch", "line_no", "reason")
 

@@ -490,6 +490,16 @@ def lightgcn_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training.train(_edges(spark, sf_dir), storage.vertices(_log(spark, sf_dir)), "user:", TRAINING)
 
 
+@query(
+    "lightgcn_checks",
+    f"WITH {_LOG}, {_V} SELECT id, CASE WHEN starts_with(id, 'user:') THEN 'user' ELSE 'item' END AS side, {DEFAULTS.embedding_dim} AS dimensions, true AS finite FROM v",
+)
+def lightgcn_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of ``lightgcn_train``: every vertex has a vector of finite numbers, on its side."""
+    finite = F.forall("v", lambda x: F.abs(x) < F.lit(float("inf")))
+    return lightgcn_train(spark, sf_dir).select("id", "side", F.size("v").alias("dimensions"), finite.alias("finite"))
+
+
 @query("lightgcn_recommend")
 def lightgcn_recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best unseen items of every user by embeddings trained on the activity graph."""

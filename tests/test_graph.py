@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 import time
 from pathlib import Path
 
@@ -165,6 +166,19 @@ def test_similar_items(spark, normalize, degree, expected):
     assert scores(ranking.similar_items(e, seed(spark, "A"), normalize, degree, min_overlap=2)) == {}
 
 
+def test_similar_items_of_hubs_are_cut_into_blocks(spark):
+    rng = random.Random(4)
+    text = " ".join(f"u{rng.randrange(3) if rng.random() < 0.7 else rng.randrange(30)}>i{rng.randrange(25)}" for _ in range(300))
+    whole = rows(ranking.similar_items(edges_of(spark, text), None, "cosine", "global"))
+    assert rows(ranking.similar_items(edges_of(spark, text), None, "cosine", "global", hub_targets=3)) == whole
+
+
+def test_small_visits_are_not_dropped(spark):
+    """Behind a vertex of very many edges a visit is rare, not absent."""
+    hub = spark.range(3).select(F.lit("a").alias("src"), F.concat(F.lit("x"), F.col("id")).alias("dst"), F.lit("t").alias("etype"), F.when(F.col("id") == 0, 1e-12).otherwise(1.0).alias("weight"))
+    assert {r["id"] for r in ranking.pagerank(hub, seed(spark, "a"), weighted=True).collect()} == {"x0", "x1", "x2"}
+
+
 def test_pagerank_exact(spark):
     diamond = edges_of(spark, "A>B A>C B>D C>D D>A")
     v = {r["id"]: r["visits"] for r in ranking.expected_visits(diamond, seed(spark, "A"), 8).collect()}
