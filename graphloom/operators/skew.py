@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.runtime import materialize
+
 #: Items the frequency sketch keeps; its error is below 4 / SKETCH_ITEMS of all rows.
 SKETCH_ITEMS = 16_384
 
@@ -93,7 +95,7 @@ def per_key_stats(
     With ``tell_left_out`` also ``left_out BIGINT``, the values too large for ``total`` (see ``left_out``).
     """
     rows = df.select(F.col(key).alias("k"), F.col(member).alias("m"), F.col(value).alias("v"))
-    heavy = heavy_keys(rows, "k", share)
+    heavy = materialize(heavy_keys(rows, "k", share), "heavy-keys")  # both parts below read it
     hot, cold = split_by_keys(rows.where(F.col("k").isNotNull()), heavy, ["k"])
     # per (key, member): counts combine before the shuffle and no group is larger than one member's rows
     pair = [F.count(F.lit(1)).alias("n"), exact_sum(F.col("v")).alias("t"), left_out(F.col("v")).alias("x")]
