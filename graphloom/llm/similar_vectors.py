@@ -34,7 +34,7 @@ RERANKED, RERANKED_LEAST = 0.6, 64
 #: Vectors of a file that one task compares with as many others.
 BLOCK = 16_384
 #: Of these, entries that are looked up at once, and comparisons made at once.
-CHUNK, AT_ONCE = 2_048, 65_536
+CHUNK, AT_ONCE = 2_048, 32_768
 #: Classes of copies with at least this many members, and this share of all vectors, have their class broadcast.
 HOT_CLASS, HOT_SHARE = 1_000, 0.001
 
@@ -103,23 +103,35 @@ def _best_of(q_ids: np.ndarray, q_vectors: np.ndarray, q_perm: np.ndarray, ids:
     spot = np.minimum(np.searchsorted(pivots, q_perm), len(pivots) - 1)
     spot = np.where(pivots[spot] == q_perm, spot, len(pivots))
     reranked, take = min(n, max(RERANKED_LEAST, math.ceil(share * n))), min(k, n)
+    # where a query stands among the entries itself
+    order = np.argsort(ids)
+    own = order[np.minimum(np.searchsorted(ids, q_ids, sorter=order), n - 1)]
+    is_own = ids[own] == q_ids
     out: list[list[np.ndarray]] = [[], [], []]
     step = max(1, AT_ONCE // n)
+    near, lesser = np.empty((step, n), small), np.empty((step, n), small)
+    # arrays, since the least of an array and a number is found one by one
+    most = [np.full((step, n), m - j, small) for j in range(m)]
     for at in range(0, len(q_ids), step):
-        part = slice(at, at + step)
+        part = slice(at, min(at + step, len(q_ids)))
+        now, held = near[: part.stop - at], lesser[: part.stop - at]
         # footrule distance = m (m + 1) - 2 * the sum over shared pivots of the lesser nearness
-        near = np.minimum(nearness[spot[part, 0]], small(m))
+        nearness.take(spot[part, 0], axis=0, out=now, mode="clip")
         for j in range(1, m):
-            near += np.minimum(nearness[spot[part, j]], small(m - j))
+            nearness.take(spot[part, j], axis=0, out=held, mode="clip")
+            np.minimum(held, most[j][: part.stop - at], out=held)
+            np.add(now, held, out=now)
         cosine = q_vectors[part] @ vectors.T
         # what is as near as the last of the reranked is reranked as well
-        cosine[near < np.partition(near, n - reranked, axis=1)[:, n - reranked, None]] = -2
-        cosine[q_ids[part][:, None] == ids[None, :]] = -2
+        least = np.partition(now.astype(np.float32), n - reranked, axis=1)[:, n - reranked, None].astype(small)
+        np.putmask(cosine, now < least, -2)
+        mine = np.nonzero(is_own[part])[0]
+        cosine[mine, own[part][mine]] = -2
         # equal when rounded may stand on both sides of the last: a little more than k goes on to be rounded and ordered
         last = np.partition(cosine, n - take, axis=1)[:, n - take, None]
-        row, col = np.nonzero((cosine >= last - 2e-6) & (cosine > -2))
-        for held, values in zip(out, (row + at, ids[col], np.round(cosine[row, col], 6))):
-            held.append(values)
+        row, col = np.divmod(np.flatnonzero(cosine >= np.maximum(last - 2e-6, -1.5)), n)
+        for kept, values in zip(out, (row + at, ids[col], np.round(cosine[row, col], 6))):
+            kept.append(values)
     return _first(*(np.concatenate(x) for x in out), k)
 
 
