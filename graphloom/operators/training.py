@@ -1,7 +1,9 @@
 """Training of graph embeddings: Bayesian personalized ranking with Adam on the sparse normalized adjacency.
 
-One graph is trained in one Arrow group, since every step depends on the one before; its memory is that of the pairs
-plus a few matrices of nodes x dimensions. Several graphs train side by side.
+By default one graph is trained in one Arrow group, since every step depends on the one before; its memory is that of
+the pairs plus a few matrices of nodes x dimensions. Several graphs train side by side. A graph too large for one task
+is trained ``sharded``: the embeddings and the state of Adam stay in a table with a row per vertex, every step is a plan
+of joins and sums over it, and only the vectors of a batch come to the driver.
 """
 
 from __future__ import annotations
@@ -13,7 +15,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators.lightgcn import EmptyGraph, weighted_pairs
+from graphloom.functions.scalar import draw
+from graphloom.operators.lightgcn import EmptyGraph, normalized_adjacency, row_index, weighted_pairs
+from graphloom.operators.sequence import number_rows
+from graphloom.runtime import materialize
 
 # The usual constants of Adam and of the logarithm's guard.
 BETA_1, BETA_2, EPSILON, LOG_GUARD = 0.9, 0.999, 1e-8, 1e-10
@@ -32,6 +37,8 @@ class TrainingOptions:
     seed: int = 42
     #: More epochs are run where fewer draws than this many times the pairs would be made.
     draws_per_pair: float = 0.0
+    #: Whether the graph is kept in tables instead of in one task; slower per step, without a bound on the graph.
+    sharded: bool = False
 
     def __post_init__(self) -> None:
         for name in ("embedding_dim", "epochs", "batch_size"):
@@ -73,23 +80,27 @@ class SparseMatrix:
         return total / (layers + 1)
 
 
-def loss_and_gradient(
-    e0: np.ndarray, adjacency: SparseMatrix, layers: int, users: np.ndarray, liked: np.ndarray, other: np.ndarray, regularization: float
-) -> tuple[float, np.ndarray]:
-    """The loss of a batch and its gradient by ``e0``. ``liked`` and ``other`` are rows of items.
-
-    Propagation is linear and symmetric, so the gradient by the propagated embeddings is propagated once more.
-    """
-    e = adjacency.propagate(e0, layers)
+def _batch_gradient(e: np.ndarray, users: np.ndarray, liked: np.ndarray, other: np.ndarray) -> tuple[float, np.ndarray]:
+    """The ranking loss of a batch and its gradient by the propagated embeddings ``e``."""
     u, p, q = e[users], e[liked], e[other]
     sigma = 1 / (1 + np.exp(-np.sum(u * (p - q), axis=1)))
-    loss = -np.mean(np.log(sigma + LOG_GUARD)) + regularization * np.mean(e0**2)
     c = (-sigma * (1 - sigma) / (sigma + LOG_GUARD) / len(users))[:, None]
     g = np.zeros_like(e)
     np.add.at(g, users, c * (p - q))
     np.add.at(g, liked, c * u)
     np.add.at(g, other, -c * u)
-    return float(loss), adjacency.propagate(g, layers) + 2 * regularization * e0 / e0.size
+    return float(-np.mean(np.log(sigma + LOG_GUARD))), g
+
+
+def loss_and_gradient(
+    e0: np.ndarray, adjacency: SparseMatrix, layers: int, users: np.ndarray, liked: np.ndarray, other: np.ndarray, regularization: float
+) -> tuple[float, np.ndarray]:
+    """The loss of a batch and its gradient by ``e0``. ``liked`` and ``other`` are rows of items.
+
+    Propagation is linear and symmetric, so the gradient by the propagated embeddings is propagated once more.
+    """
+    loss, g = _batch_gradient(adjacency.propagate(e0, layers), users, liked, other)
+    return loss + float(regularization * np.mean(e0**2)), adjacency.propagate(g, layers) + 2 * regularization * e0 / e0.size
 
 
 def train_arrays(users: np.ndarray, items: np.ndarray, weights: np.ndarray, n_users: int, n_items: int, options: TrainingOptions) -> tuple[np.ndarray, list[float]]:
@@ -124,6 +135,8 @@ def train(edges: DataFrame, all_vertices: DataFrame, user_prefix: str, options:
     sides = {r["u"] for r in all_vertices.select(is_user.alias("u")).distinct().collect()}
     if sides != {True, False} or pairs.isEmpty():
         raise EmptyGraph("empty_graph")
+    if o.sharded:
+        return train_sharded(pairs, all_vertices, user_prefix, o)[0]
     columns = ["a", "b", "w"]
     rows = pairs.select(F.col("user").alias("a"), F.col("item").alias("b"), F.col("weight").alias("w"))
     named = all_vertices.select(F.col("id").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(None).cast("double").alias("w"))
@@ -140,3 +153,69 @@ def train(edges: DataFrame, all_vertices: DataFrame, user_prefix: str, options:
         return pd.DataFrame({"id": np.concatenate([u_ids, i_ids]), "side": ["user"] * len(u_ids) + ["item"] * len(i_ids), "v": list(e)})
 
     return rows.select(columns).unionByName(named.select(columns)).groupBy(F.lit(0).alias("graph")).applyInPandas(fit, "id string, side string, v array<double>")
+
+
+def _propagated(start: DataFrame, entries: DataFrame, layers: int, names: list[str]) -> DataFrame:
+    """(``row``, a column per dimension): the mean of ``start`` over 0 to ``layers`` steps; rows may be missing from it, which count as zero.
+
+    ``entries`` is (``to``, ``at``, ``w``, ``keeps``): the adjacency and, with ``keeps``, one entry per vertex that
+    carries its sum on. A step is a join and an aggregation that combines before the shuffle.
+    """
+    state = start.select("row", *[F.col(c).alias(f"now_{c}") for c in names], *[F.col(c).alias(f"sum_{c}") for c in names])
+    for _ in range(layers):
+        met = state.join(entries, F.col("row") == F.col("at"))
+        step = {c: F.sum(F.col(f"now_{c}") * F.col("w")) for c in names}
+        kept = {c: F.sum(F.when(F.col("keeps"), F.col(f"sum_{c}")).otherwise(F.lit(0.0))) for c in names}
+        state = met.groupBy("to").agg(*[step[c].alias(f"now_{c}") for c in names], *[(kept[c] + step[c]).alias(f"sum_{c}") for c in names]).withColumnRenamed("to", "row")
+    return state.select("row", *[(F.col(f"sum_{c}") / (layers + 1)).alias(c) for c in names])
+
+
+def train_sharded(pairs: DataFrame, all_vertices: DataFrame, user_prefix: str, options: TrainingOptions) -> tuple[DataFrame, list[float]]:
+    """``train`` over tables: the embeddings (``id``, ``side``, ``v``) and the ranking loss of each step.
+
+    The steps are those of ``train_arrays``; initial values are drawn from a hash of (seed, row, dimension). The driver
+    draws each batch and holds the vectors of its vertices, at most three times ``batch_size``; the table of the
+    vertices is written once per step.
+    """
+    o, spark = options, pairs.sparkSession
+    vertices = materialize(row_index(all_vertices, user_prefix), "rows")
+    sides = {r["side"]: r["count"] for r in vertices.groupBy("side").count().collect()}
+    n_users, n_items = sides["user"], sides["item"]
+    n = n_users + n_items
+    row_of = lambda c: vertices.select(F.col("id").alias(c), F.col("row").alias(f"{c}_row"))
+    edges = normalized_adjacency(pairs).join(row_of("row"), "row").join(row_of("col"), "col")
+    moves = edges.select(F.col("row_row").alias("to"), F.col("col_row").alias("at"), "w", F.lit(False).alias("keeps"))
+    entries = materialize(moves.unionByName(vertices.select(F.col("row").alias("to"), F.col("row").alias("at"), F.lit(0.0).alias("w"), F.lit(True).alias("keeps"))), "entries")
+    placed = materialize(number_rows(pairs, ["user", "item"], "place", 0).join(row_of("user"), "user").join(row_of("item"), "item").select("place", "user_row", "item_row"), "pairs")
+    n_pairs = placed.count()
+
+    names = [f"x{d}" for d in range(o.embedding_dim)]
+    bound = float(np.sqrt(6 / (n + o.embedding_dim)))
+    start = [((draw(o.seed, F.col("row"), d) / float(2**32) * 2 - 1) * bound).alias(c) for d, c in enumerate(names)]
+    zeros = [F.lit(0.0).alias(f"{kind}_{c}") for kind in ("first", "second") for c in names]
+    table = materialize(vertices.select("row", *start, *zeros), "embeddings")
+
+    rng = np.random.default_rng(o.seed)
+    size, losses = min(o.batch_size, n_pairs), []
+    for step in range(1, max(o.epochs, int(np.ceil(o.draws_per_pair * n_pairs / size))) + 1):
+        picks = rng.integers(0, n_pairs, size)
+        other = rng.integers(0, n_items, size) + n_users
+        drawn = F.broadcast(spark.createDataFrame([(int(p),) for p in np.unique(picks)], "place long"))
+        pair = {r["place"]: (r["user_row"], r["item_row"]) for r in placed.join(drawn, "place").collect()}
+        users, liked = (np.array([pair[int(p)][k] for p in picks]) for k in (0, 1))
+        rows = np.unique(np.concatenate([users, liked, other]))
+        asked = F.broadcast(spark.createDataFrame([(int(r),) for r in rows], "row long"))
+        found = {r[0]: r[1:] for r in _propagated(table, entries, o.layers, names).join(asked, "row").select("row", *names).collect()}
+        at = lambda some: np.searchsorted(rows, some)
+        loss, g = _batch_gradient(np.array([found[int(r)] for r in rows]), at(users), at(liked), at(other))
+        losses.append(loss)
+        schema = ", ".join(["row long", *[f"{c} double" for c in names]])
+        moved = _propagated(spark.createDataFrame([(int(r), *map(float, x)) for r, x in zip(rows, g)], schema), entries, o.layers, names)
+        both = table.join(moved.select("row", *[F.col(c).alias(f"g_{c}") for c in names]), "row", "left")
+        slope = {c: F.coalesce(f"g_{c}", F.lit(0.0)) + 2 * o.regularization / (n * o.embedding_dim) * F.col(c) for c in names}
+        first = {c: BETA_1 * F.col(f"first_{c}") + (1 - BETA_1) * slope[c] for c in names}
+        second = {c: BETA_2 * F.col(f"second_{c}") + (1 - BETA_2) * slope[c] * slope[c] for c in names}
+        new = {c: F.col(c) - o.learning_rate * (first[c] / (1 - BETA_1**step)) / (F.sqrt(second[c] / (1 - BETA_2**step)) + EPSILON) for c in names}
+        table = materialize(both.select("row", *[v.alias(c) for c, v in new.items()], *[v.alias(f"first_{c}") for c, v in first.items()], *[v.alias(f"second_{c}") for c, v in second.items()]), "embeddings")
+    out = _propagated(table, entries, o.layers, names).select("row", F.array(*names).alias("v"))
+    return vertices.join(out, "row").select("id", "side", "v"), losses

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 import time
@@ -307,6 +308,33 @@ def test_training_separates_clusters(spark, tmp_path):
             g.load_embeddings(str(tmp_path / "none"))
 
 
+def test_sharded_training_takes_the_same_steps(spark):
+    """Three steps over tables against the same steps over arrays, from the same initial values and with the same draws."""
+    edges = edges_of(spark, "user:a>item:1 user:a>item:2 user:b>item:2 user:c>item:3 user:c>item:1 user:d>item:3")
+    vertices = storage.vertices(edges).unionByName(seed(spark, "item:9"))
+    options = training.TrainingOptions(embedding_dim=3, layers=2, epochs=3, batch_size=4, learning_rate=0.05, regularization=0.1, seed=5, sharded=True)
+    got, losses = training.train_sharded(lightgcn.weighted_pairs(edges, "user:"), vertices, "user:", options)
+    order = sorted(r["id"] for r in vertices.collect())
+    u, i = [x for x in order if x.startswith("user:")], [x for x in order if not x.startswith("user:")]
+    pairs = sorted((r["user"], r["item"], r["weight"]) for r in lightgcn.weighted_pairs(edges, "user:").collect())
+    users, items = np.array([u.index(a) for a, _, _ in pairs]), np.array([i.index(b) for _, b, _ in pairs])
+    n = len(u) + len(i)
+    adjacency = training.SparseMatrix(users, items, np.array([w for *_, w in pairs]), len(u), n)
+    value = lambda row, d: int(hashlib.md5(f"5|{row}|{d}".encode()).hexdigest()[:8], 16) / 2**32 * 2 - 1
+    e0 = np.array([[value(r, d) for d in range(3)] for r in range(n)]) * np.sqrt(6 / (n + 3))
+    rng, m, v = np.random.default_rng(5), np.zeros_like(e0), np.zeros_like(e0)
+    for step in range(1, 4):
+        pick, other = rng.integers(0, len(pairs), 4), rng.integers(0, len(i), 4) + len(u)
+        loss, g = training.loss_and_gradient(e0, adjacency, 2, users[pick], items[pick] + len(u), other, 0.1)
+        assert abs(losses[step - 1] - (loss - 0.1 * np.mean(e0**2))) < 1e-9
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        e0 = e0 - 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    expected = dict(zip(u + i, adjacency.propagate(e0, 2)))
+    found = {r["id"]: np.array(r["v"]) for r in got.collect()}
+    assert set(found) == set(expected) and all(np.allclose(found[k], expected[k], atol=1e-7) for k in expected)
+    assert training.train(edges, vertices, "user:", options).count() == n
+
+
 def test_loss_falls():
     users, items = np.repeat(np.arange(6), 3), np.concatenate([[k % 3, (k + 1) % 3, 3 + k % 2] for k in range(6)])
     _, losses = training.train_arrays(users, items, np.ones(18), 6, 6, training.TrainingOptions(8, 2, 200, 16, 0.05))
