@@ -19,16 +19,19 @@ def bucket_bits(size: Column, bucket_rows: int = BUCKET_ROWS) -> Column:
     return F.least(F.greatest(bits, F.lit(0)), F.lit(MOST_BUCKETS.bit_length() - 1)).cast("int")
 
 
-def running_total(df: DataFrame, group: list[str], hashed: str, ties: list[str], amount: str, out: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def running_total(
+    df: DataFrame, group: list[str], hashed: str, ties: list[str], amount: str, out: str, bucket_rows: int = BUCKET_ROWS, few: bool = True
+) -> DataFrame:
     """``df`` with ``out``: the sum of ``amount`` over the rows of its group that precede it.
 
     Rows are ordered by the unsigned hash ``hashed``, then ``ties``, which together must tell rows apart. A bucket is a
     range of the hash, and a group has as many of them as its number of rows asks for; rows learn that number by a join
-    with a row per group. ``df`` is read three times; pass a materialized one. Groups must be few (sizes, patterns):
+    with a row per group. ``df`` is read three times; pass a materialized one. Where groups are ``few`` (sizes, patterns)
     their counts are broadcast.
     """
     if group:
-        told = df.join(F.broadcast(df.groupBy(*group).agg(bucket_bits(F.count(F.lit(1)), bucket_rows).alias("bits__"))), group)
+        counts = df.groupBy(*group).agg(bucket_bits(F.count(F.lit(1)), bucket_rows).alias("bits__"))
+        told = df.join(F.broadcast(counts) if few else counts, group)
     else:  # one number
         told = df.withColumn("bits__", bucket_bits(F.lit(df.count()), bucket_rows))
     # the upper bits; a shift by 64 would be one by 0
