@@ -59,3 +59,18 @@ def test_trained_embeddings_are_evaluated(spark):
     assert got[0]["users"] == of(spark, "eval_metrics").first()["users"]
     assert got[0]["baseline"] == of(spark, "random_baseline").first()["baseline"] > 0
     assert 0 < got[0]["recall"] <= 1 and abs(got[0]["uplift"] - got[0]["recall"] / got[0]["baseline"]) < 1e-4
+
+
+def test_dense_graphs_train_without_passes_over_their_entries(monkeypatch):
+    rng = np.random.default_rng(3)
+    for n_users, n_items in ((40, 9), (9, 40)):
+        users, items = np.divmod(rng.choice(360, 150, replace=False), n_items)
+        options = training.TrainingOptions(embedding_dim=4, layers=3, epochs=20, batch_size=16)
+        data = users, items, rng.uniform(0.1, 3, 150), n_users, n_items, options
+        with monkeypatch.context() as m:
+            m.setattr(training, "DENSE_SHARE", 2.0)
+            by_entries, losses = training.train_arrays(*data)
+        with monkeypatch.context() as m:
+            m.setattr(training.SparseMatrix, "__matmul__", None)
+            dense, same = training.train_arrays(*data)
+        assert np.allclose(dense, by_entries, atol=1e-12) and np.allclose(same, losses, atol=1e-12)
