@@ -74,3 +74,10 @@ def test_dense_graphs_train_without_passes_over_their_entries(monkeypatch):
             m.setattr(training.SparseMatrix, "__matmul__", None)
             dense, same = training.train_arrays(*data)
         assert np.allclose(dense, by_entries, atol=1e-12) and np.allclose(same, losses, atol=1e-12)
+
+
+def test_salsa_with_feedback_asks_for_every_user(spark):
+    users = {f"user:{r[0]}" for r in load(spark, SF, "events").where("user_id IS NOT NULL").select("user_id").distinct().collect()}
+    for name in ("salsa_feedback", "salsa_feedback_all_users"):
+        assert {r[0] for r in entry_points.queries()[name](spark, SF).select("seed").distinct().collect()} == users
+    assert "% 20" not in entry_points.oracle_sql()["salsa_feedback"]
